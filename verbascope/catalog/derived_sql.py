@@ -101,4 +101,46 @@ FROM d_noisy_segments s JOIN (SELECT file_id, segment_id, string_agg(clean_word,
   ON c.file_id = s.file_id AND c.segment_id = s.segment_id
 JOIN (SELECT file_id, segment_id, string_agg('"' || word || ' → ' || lower(trim(clean_word, '.,!?;:''"()[]')) || '"', ', ' ORDER BY pos) AS swaps
   FROM d_noisy_words WHERE word <> clean_word GROUP BY file_id, segment_id) b ON b.file_id = s.file_id AND b.segment_id = s.segment_id""",
+    "d_rates": r"""
+SELECT file_id, utt, dataset, accent, CAST(len(rw) AS INT) AS ref_word_count, CAST(len(hw) AS INT) AS hyp_word_count, CAST(len(cw) AS INT) AS cor_word_count,
+  levenshtein(enc(rw, book), enc(hw, book)) AS word_errors, levenshtein(enc(rw, book), enc(cw, book)) AS cor_errors
+FROM (SELECT *, list_distinct(list_concat(list_concat(rw, hw), cw)) AS book FROM (
+  SELECT file_id, utt, dataset, accent, wl(nm(ref)) AS rw, wl(nm(hyp)) AS hw, wl(nm(regexp_replace(hyp, '(^| )zz', '\1', 'g'))) AS cw FROM d_pairs))""",
+    "d_file_rates": """
+SELECT file_id, dataset, accent, sum(ref_word_count)::BIGINT AS ref_word_count, CASE WHEN sum(ref_word_count) = 0 THEN NULL ELSE round(sum(word_errors) * 100.0 / sum(ref_word_count), 2) END AS baseline_wer,
+  CASE WHEN sum(ref_word_count) = 0 THEN NULL ELSE round(sum(cor_errors) * 100.0 / sum(ref_word_count), 2) END AS corrected_wer
+FROM d_rates GROUP BY file_id, dataset, accent""",
 }
+# Shorthands used in the texts above.
+SHORT = {
+    "nm": r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' +', ' ', 'g'))",
+    "wl": r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')",
+    "enc": "array_to_string(list_transform({0}, lambda x: chr(CAST(list_position({1}, x) AS INT))), '')",
+}
+
+
+def _expand(text: str) -> str:
+    """Replace ``name(args)`` of every shorthand by its SQL."""
+    import re
+
+    for name, body in SHORT.items():
+        while m := re.search(rf"\b{name}\(", text):
+            depth, i = 1, m.end()
+            while depth:
+                depth += {"(": 1, ")": -1}.get(text[i], 0)
+                i += 1
+            inner = text[m.end() : i - 1]
+            args, level, cur = [], 0, ""
+            for ch in inner:
+                level += {"(": 1, ")": -1}.get(ch, 0)
+                if ch == "," and level == 0 and name == "enc":
+                    args.append(cur.strip())
+                    cur = ""
+                else:
+                    cur += ch
+            args.append(cur.strip())
+            text = text[: m.start()] + body.format(*args) + text[i:]
+    return text
+
+
+DERIVED_SQL = {k: _expand(v) for k, v in DERIVED_SQL.items()}

@@ -172,7 +172,7 @@ def _(t):
 @query(
     "timestamps_mmss",
     r"""WITH s AS (SELECT file_id, segment_id, CAST(floor(start_s) AS INT) AS sec FROM d_segments),
- f AS (SELECT *, lpad(CAST(sec // 60 AS VARCHAR), greatest(2, length(CAST(sec // 60 AS VARCHAR))), '0') || ':' || lpad(CAST(sec % 60 AS VARCHAR), 2, '0') AS mmss FROM s)
+ f AS (SELECT *, lpad(CAST(sec // 60 AS VARCHAR), CAST(greatest(2, length(CAST(sec // 60 AS VARCHAR))) AS INT), '0') || ':' || lpad(CAST(sec % 60 AS VARCHAR), 2, '0') AS mmss FROM s)
 SELECT file_id, segment_id, mmss, CAST(CAST(split_part(mmss, ':', 1) AS INT) * 60 + CAST(split_part(mmss, ':', 2) AS INT) AS DOUBLE) AS back,
   CAST(3600 + CAST(split_part(mmss, ':', 1) AS INT) * 60 + CAST(split_part(mmss, ':', 2) AS INT) AS DOUBLE) AS with_hour FROM f""",
 )
@@ -213,9 +213,9 @@ def _(t):
 
 @query(
     "screen_xml_from_pages",
-    r"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS body FROM pages)
+    r"""WITH b AS (SELECT page_id, replace(replace(unnest(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)), '<b>', '<text>'), '</b>', '</text>') AS body FROM pages)
 SELECT page_id, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM (
- SELECT page_id, CASE WHEN regexp_matches(body, '(?s)<b>.*?</b>') THEN regexp_replace(regexp_extract(body, '(?s)<b>\s*(.*?)\s*</b>', 1), '^\s+|\s+$', '', 'g') ELSE regexp_replace(body, '^\s+|\s+$', '', 'g') END AS body FROM b)
+ SELECT page_id, CASE WHEN regexp_matches(body, '(?s)<text>.*?</text>') THEN regexp_replace(regexp_extract(body, '(?s)<text>\s*(.*?)\s*</text>', 1), '^\s+|\s+$', '', 'g') ELSE regexp_replace(body, '^\s+|\s+$', '', 'g') END AS body FROM b)
 WHERE body <> '' GROUP BY page_id""",
 )
 def _(t):
@@ -258,9 +258,9 @@ def _(t):
 @query(
     "hints_near_segments",
     f"""WITH l AS ({LINES_SQL}), c AS (SELECT file_id, segment_id, (start_s + end_s) / 2 AS center_s FROM d_segments),
- h AS (SELECT c.file_id, c.segment_id, l.line, min(l.ts * 100000 + l.line_no) AS at FROM c JOIN l ON l.file_id = c.file_id AND abs(l.ts - c.center_s) <= 15
+ h AS (SELECT c.file_id, c.segment_id, l.line, min(l.ts * 100000 + l.line_no) AS pl FROM c JOIN l ON l.file_id = c.file_id AND abs(l.ts - c.center_s) <= 15
    WHERE length(line) > 1 AND NOT regexp_matches(line, '{UI_RE}') GROUP BY c.file_id, c.segment_id, l.line)
-SELECT file_id, segment_id, CAST(rank AS INT) AS rank, line FROM (SELECT *, row_number() OVER (PARTITION BY file_id, segment_id ORDER BY at) AS rank FROM h) WHERE rank <= 15""",
+SELECT file_id, segment_id, CAST(rank AS INT) AS rank, line FROM (SELECT *, row_number() OVER (PARTITION BY file_id, segment_id ORDER BY pl) AS rank FROM h) WHERE rank <= 15""",
 )
 def _(t):
     centers = t.segments.select("file_id", "segment_id", ((F.col("start_s") + F.col("end_s")) / 2).alias("center_s"))
@@ -282,7 +282,7 @@ def _(t):
 @query(
     "caps_and_acronyms",
     r"""WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '\p{Lu}')) AS u, len(regexp_extract_all(text, '\p{L}')) AS l FROM documents),
- a AS (SELECT doc_id, COALESCE(u / nullif(l, 0) > 0.6, false) AS caps, list_filter(list_distinct(regexp_extract_all(text, '\b[A-Z]{2,}(?:-?\d+)?\b')),
+ a AS (SELECT doc_id, COALESCE(u / nullif(l, 0) > 0.6, false) AS caps, list_filter(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(text, '([^\p{L}\p{N}_-])', '\1\1', 'g'), '-([^\d])', '--\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z]{2,}(?:-?\d+)?)(?:$|[^\p{L}\p{N}_])', 1)),
    lambda x: NOT list_contains(['THE','AND','FOR','YOU','BUT','NOT','ALL','ANY','CAN'], x)) AS found FROM c)
 SELECT doc_id, caps, CASE WHEN caps THEN '' ELSE array_to_string(list_sort(found), ' ') END AS acronyms FROM a""",
 )
@@ -333,7 +333,7 @@ def _(t):
 @query(
     "target_terms_per_file",
     rf"""WITH k AS (SELECT DISTINCT file_id, w AS term FROM ({TOK_SQL}) JOIN ({KEYWORDS_SQL}) ON lower(w) = kw),
- a AS (SELECT doc_id AS file_id, unnest(list_filter(list_distinct(regexp_extract_all(text, '\b[A-Z]{{2,}}(?:-?\d+)?\b')),
+ a AS (SELECT doc_id AS file_id, unnest(list_filter(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(text, '([^\p{{L}}\p{{N}}_-])', '\1\1', 'g'), '-([^\d])', '--\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])([A-Z]{{2,}}(?:-?\d+)?)(?:$|[^\p{{L}}\p{{N}}_])', 1)),
    lambda x: NOT list_contains(['THE','AND','FOR','YOU','BUT','NOT','ALL','ANY','CAN'], x))) AS term FROM documents
    WHERE NOT COALESCE(len(regexp_extract_all(text, '\p{{Lu}}')) / nullif(len(regexp_extract_all(text, '\p{{L}}')), 0) > 0.6, false)),
  u AS (SELECT * FROM k UNION SELECT * FROM a UNION ({RARE_SQL})),
@@ -355,7 +355,7 @@ def _(t):
 @query(
     "entity_words",
     r"""SELECT doc_id, CAST(count(*) AS BIGINT) AS n, string_agg(w, ' ' ORDER BY w) AS words FROM (
- SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '\b[A-Z][a-zA-Z0-9]+\b'), lambda w: length(w) >= 4))) AS w FROM documents WHERE lang = 'en') GROUP BY doc_id""",
+ SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z0-9]+)(?:$|[^\p{L}\p{N}_])', 1), lambda w: length(w) >= 4))) AS w FROM documents WHERE lang = 'en') GROUP BY doc_id""",
 )
 def _(t):
     w = t.documents.where("lang = 'en'").select("doc_id", tx.entity_words("text").alias("a")).where(F.size("a") > 0)

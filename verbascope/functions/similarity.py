@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verbascope.functions.text import let
+
 # --------------------------------------------------------------------------
 # JVM-side measures
 # --------------------------------------------------------------------------
@@ -58,9 +60,7 @@ def edit_distance(a: Column, b: Column) -> Column:
     so growing thresholds cost O(n·d) instead of O(n·m); ``coalesce`` is lazy.
     """
     longest = F.greatest(F.length(a), F.length(b))
-    steps = [
-        F.nullif(F.levenshtein(a, b, t), F.lit(-1)) for t in (32, 256, 2048, 16384)
-    ]
+    steps = [F.nullif(F.levenshtein(a, b, t), F.lit(-1)) for t in (32, 256, 2048, 16384)]
     banded = F.coalesce(*steps, F.levenshtein(a, b))
     return F.when(longest <= 64, F.levenshtein(a, b)).otherwise(banded)
 
@@ -73,16 +73,19 @@ def word_distance(ref_words: Column, hyp_words: Column) -> Column:
     is the word distance. Code points in the surrogate range are skipped, which
     leaves room for a million distinct words per pair.
     """
-    book = F.array_distinct(F.concat(ref_words, hyp_words))
 
-    def encode(words: Column) -> Column:
+    def encode(words: Column, book: Column) -> Column:
         def code(w: Column) -> Column:
             k = F.array_position(book, w)
             return F.lpad(F.hex(F.when(k < 0xD700, k).otherwise(k + 0x900)), 8, "0")
 
         return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
-    return edit_distance(encode(ref_words), encode(hyp_words))
+    both = let(
+        F.array_distinct(F.concat(ref_words, hyp_words)),
+        lambda book: F.struct(encode(ref_words, book).alias("r"), encode(hyp_words, book).alias("h")),
+    )
+    return let(both, lambda x: edit_distance(x["r"], x["h"]))
 
 
 # --------------------------------------------------------------------------
@@ -374,15 +377,18 @@ def char_signature(word: Column, min_share: float) -> Column:
     common (as multisets) share at least one key, so an equi-join on the keys
     loses no pair (Chaudhuri et al. 2006; Bayardo et al. 2007).
     """
-    cs = chars(word)
-    numbered = F.transform(
-        cs,
-        lambda c, i: F.concat(
-            F.lpad(F.position(c, F.lit(_RARE_FIRST)).cast("string"), 2, "0"),
-            c,
-            F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c)).cast("string"),
-        ),
-    )
-    n = F.size(cs)
-    keep = n - F.ceil(n * min_share).cast("int") + 1
-    return F.slice(F.array_sort(numbered), 1, F.least(keep, n))
+
+    def keys(cs: Column) -> Column:
+        numbered = F.transform(
+            cs,
+            lambda c, i: F.concat(
+                F.lpad(F.position(c, F.lit(_RARE_FIRST)).cast("string"), 2, "0"),
+                c,
+                F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c)).cast("string"),
+            ),
+        )
+        n = F.size(cs)
+        keep = n - F.ceil(n * min_share).cast("int") + 1
+        return F.slice(F.array_sort(numbered), 1, F.least(keep, n))
+
+    return let(chars(word), keys)

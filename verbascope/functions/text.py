@@ -23,6 +23,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a variable.
+
+    A lambda body is evaluated per array element together with everything it
+    captures, so a costly captured expression must be bound first.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(col) -> Column:
     """Drop white space at both ends."""
     return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
@@ -126,18 +135,18 @@ def word_chunks(text, size: int = 50, overlap: int = 10) -> Column:
     Full windows start every ``size - overlap`` words. A tail window of the last
     ``size`` words is added when the remainder is larger than half a window.
     """
-    ws = tokens(text)
-    n = F.size(ws)
     step = size - overlap
-    starts = F.when(n >= size, F.sequence(F.lit(0), n - size, F.lit(step))).otherwise(
-        F.array().cast("array<int>")
-    )
-    body = F.transform(starts, lambda s: F.array_join(F.slice(ws, s + 1, size), " "))
-    tail = F.when(
-        (n > size) & (n % step > size // 2),
-        F.array(F.array_join(F.slice(ws, n - size + 1, size), " ")),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(body, tail)
+    no_ints, no_text = F.array().cast("array<int>"), F.array().cast("array<string>")
+
+    def cut(ws: Column) -> Column:
+        n = F.size(ws)
+        starts = F.when(n >= size, F.sequence(F.lit(0), n - size, F.lit(step))).otherwise(no_ints)
+        full = F.transform(starts, lambda s: F.array_join(F.slice(ws, s + 1, size), " "))
+        has_tail = (n > size) & (n % step > size // 2)
+        tail = F.when(has_tail, F.array(F.array_join(F.slice(ws, n - size + 1, size), " "))).otherwise(no_text)
+        return F.concat(full, tail)
+
+    return let(tokens(text), cut)
 
 
 def parse_mmss(ts) -> Column:

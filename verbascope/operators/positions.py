@@ -42,42 +42,56 @@ def position_to_time(positions: DataFrame, segments: DataFrame, pos: str = "char
     return joined.withColumn(out, F.coalesce("_at", "_last", F.lit(0.0))).drop("_at", "_last")
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _find_all(text: pd.Series, term: pd.Series) -> pd.Series:
-    def one(t, w):
-        if t is None or not w:
-            return []
-        found, at = [], t.find(w)
-        while at >= 0:
-            found.append(at)
-            at = t.find(w, at + 1)
-        return found
+def _starts(text: str, term: str) -> list[int]:
+    found, at = [], text.find(term)
+    while at >= 0:
+        found.append(at)
+        at = text.find(term, at + 1)
+    return found
 
-    return pd.Series([one(t, w) for t, w in zip(text, term)])
+
+def _wordish(ch: str) -> bool:
+    return ch == "_" or ch.isalnum()
+
+
+def _whole_words(text: str, term: str) -> list[int]:
+    """Hits with a word edge on both sides, leftmost first, not overlapping."""
+    kept, free_from, n = [], 0, len(term)
+    edge = lambda i: (i > 0 and _wordish(text[i - 1])) != (i < len(text) and _wordish(text[i]))
+    for at in _starts(text, term):
+        if at >= free_from and edge(at) and edge(at + n):
+            kept.append(at)
+            free_from = at + n
+    return kept
+
+
+_HITS = T.ArrayType(
+    T.StructType([T.StructField("term_key", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+)
+
+
+def find_each(text: Column, terms: Column, word_boundary: bool = False) -> Column:
+    """Array of (term, start positions) for the terms that occur in a text."""
+    find = _whole_words if word_boundary else _starts
+
+    @F.pandas_udf(_HITS)
+    def run(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        def one(t, ws):
+            hits = ((w, find(t, w)) for w in ws if w)
+            return [{"term_key": w, "positions": p} for w, p in hits if p]
+
+        return pd.Series([one(t, ws) for t, ws in zip(texts, wanted)])
+
+    return run(text, terms)
 
 
 def occurrences(text: Column, term: Column) -> Column:
-    """Start positions of every occurrence, overlapping ones included."""
-    return _find_all(text, term)
+    """Start positions of every occurrence of one term, overlapping ones included."""
+    return F.coalesce(F.try_element_at(find_each(text, F.array(term)), F.lit(1))["positions"], F.array().cast("array<int>"))
 
 
 def bounded_occurrences(text: Column, term: Column) -> Column:
-    """Start positions of whole-word occurrences, not overlapping.
-
-    A word edge is required on both sides; among overlapping hits the leftmost
-    is kept, like a left-to-right regular-expression scan.
-    """
-    wordish = lambda c: F.coalesce(c.rlike(r"^[\p{L}\p{N}_]$"), F.lit(False))
-    n = F.length(term)
-    edge = lambda i: wordish(F.substr(text, i, F.lit(1))) != wordish(F.substr(text, i + 1, F.lit(1)))
-    left = lambda p: F.when(p == 0, wordish(F.substr(text, F.lit(1), F.lit(1)))).otherwise(edge(p))
-    right = lambda p: F.when(p + n == F.length(text), wordish(F.substr(text, p + n, F.lit(1)))).otherwise(edge(p + n))
-    hits = F.filter(_find_all(text, term), lambda p: left(p) & right(p))
-    empty = F.array().cast("array<int>")
-    return F.aggregate(
-        hits,
-        empty,
-        lambda kept, p: F.when(
-            (F.size(kept) > 0) & (p < F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(-1)) + n), kept
-        ).otherwise(F.concat(kept, F.array(p))),
+    """Start positions of whole-word occurrences of one term, not overlapping."""
+    return F.coalesce(
+        F.try_element_at(find_each(text, F.array(term), word_boundary=True), F.lit(1))["positions"], F.array().cast("array<int>")
     )
