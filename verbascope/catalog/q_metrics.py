@@ -120,7 +120,7 @@ REGION_SQL = rf"""WITH p AS (SELECT file_id, utt, {nws('ref')} AS r, {nws('hyp')
  hit AS (SELECT w, term_key, unnest(list_filter(range(1, length(w) - length(term_key) + 2), lambda q: substr(w, q, length(term_key)) = term_key)) AS q FROM (SELECT DISTINCT w FROM tok) JOIN d_vocab ON contains(w, term_key)),
  o AS (SELECT tok.file_id, tok.utt, hit.term_key, off + q - 1 AS pos, length(p.h)::DOUBLE / greatest(length(p.r), 1) AS ratio, p.h FROM tok JOIN hit USING (w) JOIN p ON p.file_id = tok.file_id AND p.utt = tok.utt),
  g AS (SELECT *, substr(h, greatest(floor(pos * ratio)::BIGINT - 120, 0) + 1, least(length(h), floor((pos + length(term_key)) * ratio)::BIGINT + 120) - greatest(floor(pos * ratio)::BIGINT - 120, 0)) AS region FROM o),
- occ AS (SELECT g.file_id, g.utt, v.term, v.category, CAST(pos AS INT) AS ref_pos, CASE WHEN contains(region, g.term_key) THEN 'correct' WHEN len(v.known_errors) > 0 AND contains(region, v.known_errors[1]) THEN 'known_substitution' ELSE 'missing_or_unknown' END AS status
+ occ AS (SELECT g.file_id, g.utt, v.term, v.category, CAST(g.pos AS INT) AS ref_pos, CASE WHEN contains(region, g.term_key) THEN 'correct' WHEN len(v.known_errors) > 0 AND contains(region, v.known_errors[1]) THEN 'known_substitution' ELSE 'missing_or_unknown' END AS status
    FROM g JOIN d_vocab v ON v.term_key = g.term_key)"""
 
 

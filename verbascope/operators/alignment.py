@@ -24,6 +24,9 @@ TRACE_BITS = 1 << 28
 
 EQUAL, SUBSTITUTE, DELETE, INSERT = "equal", "substitute", "delete", "insert"
 
+# Rows collected before a frame is handed on.
+FLUSH_ROWS = 100_000
+
 # One letter per step keeps the edit script of a pair in one small string.
 STEP_NAMES = {"e": EQUAL, "s": SUBSTITUTE, "d": DELETE, "i": INSERT}
 
@@ -140,27 +143,25 @@ def diff_rows(aligned: DataFrame, keys: list[str], ref_words: str, hyp_words: st
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
     schema = f"{ddl}, pos int, type string, ref_pos int, hyp_pos int, ref_word string, hyp_word string"
     names = [f.name for f in key_fields]
+    columns = [*names, "pos", "type", "ref_pos", "hyp_pos", "ref_word", "hyp_word"]
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                rec = dict(zip(batch.columns, row))
-                steps = np.array(list(rec[script]), dtype="U1")
-                if len(steps) == 0:
-                    continue
-                uses_ref = steps != "i"
-                uses_hyp = steps != "d"
-                rp = np.cumsum(uses_ref) - 1
-                hp = np.cumsum(uses_hyp) - 1
-                refs = np.append(np.asarray(rec[ref_words], dtype=object), "")
-                hyps = np.append(np.asarray(rec[hyp_words], dtype=object), "")
-                frame = {k: [rec[k]] * len(steps) for k in names}
-                frame["pos"] = np.arange(len(steps), dtype="int32")
-                frame["type"] = pd.Series(steps).map(STEP_NAMES)
-                frame["ref_pos"] = pd.Series(np.where(uses_ref, rp, -1)).astype("int32")
-                frame["hyp_pos"] = pd.Series(np.where(uses_hyp, hp, -1)).astype("int32")
-                frame["ref_word"] = refs[np.where(uses_ref, rp, len(refs) - 1)]
-                frame["hyp_word"] = hyps[np.where(uses_hyp, hp, len(hyps) - 1)]
-                yield pd.DataFrame(frame)
+            out: list[tuple] = []
+            ids = zip(*[batch[k] for k in names]) if names else iter([()] * len(batch))
+            for key, refs, hyps, steps in zip(ids, batch[ref_words], batch[hyp_words], batch[script]):
+                i = j = 0
+                for pos, s in enumerate(steps):
+                    has_ref, has_hyp = s != "i", s != "d"
+                    out.append(
+                        (*key, pos, STEP_NAMES[s], i if has_ref else -1, j if has_hyp else -1,
+                         refs[i] if has_ref else "", hyps[j] if has_hyp else "")
+                    )
+                    i += has_ref
+                    j += has_hyp
+                if len(out) >= FLUSH_ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
     return src.mapInPandas(expand, schema=schema)
