@@ -21,6 +21,7 @@ SELECT term, term AS term_key, category, known_errors, pos FROM (
     SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM documents WHERE lang = 'en') GROUP BY word))
 WHERE pos < 200""",
     "d_errors": "SELECT unnest(known_errors) AS error_key, term, term_key, category, pos FROM d_vocab",
+    "d_lookup": "SELECT error_key, max_by(term, pos) AS term, max_by(category, pos) AS category, max_by(term_key, pos) AS term_key FROM d_errors GROUP BY error_key",
     "d_noisy_words": r"""
 SELECT w.file_id, w.segment_id, w.pos, w.start_s, w.end_s, w.speaker, w.probability, w.word AS clean_word,
        CASE WHEN e.error_key IS NOT NULL AND (w.segment_id + w.pos) % 3 = 0 THEN e.error_key ELSE w.word END AS word

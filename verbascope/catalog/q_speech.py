@@ -208,7 +208,7 @@ def _(t):
 
 @query(
     "known_error_hits",
-    f"""SELECT w.file_id, w.segment_id, w.pos, e.term FROM d_noisy_words w JOIN d_errors e ON {strip('w.word')} = e.error_key WHERE length({strip('w.word')}) >= 2""",
+    f"""SELECT w.file_id, w.segment_id, w.pos, e.term FROM d_noisy_words w JOIN d_lookup e ON {strip('w.word')} = e.error_key WHERE length({strip('w.word')}) >= 2""",
 )
 def _(t):
     w = t.noisy_words.withColumn("word_key", tx.strip_punct("word"))
@@ -333,7 +333,7 @@ def _(t):
 # detection
 # --------------------------------------------------------------------------
 
-SCORED_SQL = f"""k AS (SELECT error_key, term, category, {_plaus_sql('error_key', 'term_key')} AS p FROM d_errors),
+SCORED_SQL = f"""k AS (SELECT error_key, term, category, {_plaus_sql('error_key', 'term_key')} AS p FROM d_lookup),
  s AS (SELECT w.file_id, w.segment_id, w.pos, w.word, k.term, k.category, (CASE WHEN k.p >= 0.65 THEN 5 ELSE 0 END + CASE WHEN w.probability < 0.7 AND length({strip('w.word')}) >= 2 THEN 2 ELSE 0 END)::DOUBLE AS score
    FROM d_noisy_words w LEFT JOIN (SELECT * FROM k WHERE p >= 0.5) k ON k.error_key = {strip('w.word')} AND k.p >= 0.5)"""
 
@@ -557,7 +557,7 @@ def _(t):
     return lips.active_speakers(t.landmarks).drop("face_detected")
 
 
-ELIG_SQL = """c AS (SELECT DISTINCT w.file_id, w.segment_id FROM d_noisy_words w JOIN d_errors e ON e.error_key = lower(trim(w.word, '.,!?;:''"()[]')) WHERE e.category IN ('person_name', 'content_word', 'custom')),
+ELIG_SQL = """c AS (SELECT DISTINCT w.file_id, w.segment_id FROM d_noisy_words w JOIN d_lookup e ON e.error_key = lower(trim(w.word, '.,!?;:''"()[]')) WHERE e.category IN ('person_name', 'content_word', 'custom')),
  u AS (SELECT f.file_id, f.segment_id, f.start_s, f.end_s, row_number() OVER (PARTITION BY f.file_id, round(f.start_s, 1), round(f.end_s, 1) ORDER BY f.segment_id) AS d FROM d_flagged f JOIN c USING (file_id, segment_id) WHERE f.start_s < f.end_s),
  e AS (SELECT file_id, segment_id, start_s, end_s, CAST(row_number() OVER (PARTITION BY file_id ORDER BY segment_id) AS INT) AS rank FROM u WHERE d = 1)"""
 

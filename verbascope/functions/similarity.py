@@ -9,7 +9,7 @@ first. All edit-distance kernels are bit-parallel over arbitrary-length integers
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -370,25 +370,42 @@ def plausibility(error: Column, term: Column, error_code: Column | None = None,
 _RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 
 
-def char_signature(word: Column, min_share: float) -> Column:
-    """Prefix-filter keys of a word.
+def numbered_chars(word: Column) -> Column:
+    """Characters made unique by occurrence, sorted rare first: a multiset as a set."""
 
-    Two words that have at least ``min_share`` of either one's characters in
-    common (as multisets) share at least one key, so an equi-join on the keys
-    loses no pair (Chaudhuri et al. 2006; Bayardo et al. 2007).
-    """
-
-    def keys(cs: Column) -> Column:
-        numbered = F.transform(
-            cs,
-            lambda c, i: F.concat(
-                F.lpad(F.position(c, F.lit(_RARE_FIRST)).cast("string"), 2, "0"),
-                c,
-                F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c)).cast("string"),
-            ),
+    def number(cs: Column) -> Column:
+        return F.array_sort(
+            F.transform(
+                cs,
+                lambda c, i: F.concat(
+                    F.lpad(F.position(c, F.lit(_RARE_FIRST)).cast("string"), 2, "0"),
+                    c,
+                    F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c)).cast("string"),
+                ),
+            )
         )
-        n = F.size(cs)
-        keep = n - F.ceil(n * min_share).cast("int") + 1
-        return F.slice(F.array_sort(numbered), 1, F.least(keep, n))
 
-    return let(chars(word), keys)
+    return let(chars(word), number)
+
+
+def char_blocked_pairs(left: DataFrame, a: str, right: DataFrame, b: str, keys: list[str], min_share: float, enough) -> DataFrame:
+    """Pairs of words that may share enough characters: ``keys, a, b``.
+
+    Prefix filter (Chaudhuri et al. 2006; Bayardo et al. 2007): if two words share
+    at least ``min_share`` of either one's characters as multisets, they share one
+    of each one's rarest characters, so an equi-join on those loses no pair. A
+    pair is kept at its first common key only, and ``enough(common, la, lb)``
+    tests the true overlap; both inputs hold distinct words.
+    """
+
+    def keyed(df: DataFrame, c: str, tag: str) -> DataFrame:
+        full = df.withColumn(f"_{tag}", numbered_chars(F.col(c)))
+        n = F.size(f"_{tag}")
+        keep = F.least(n - F.ceil(n * min_share).cast("int") + 1, n)
+        sig = full.withColumn(f"_s{tag}", F.slice(f"_{tag}", 1, keep))
+        return sig.withColumn("_k", F.explode(f"_s{tag}"))
+
+    met = keyed(left, a, "l").join(keyed(right, b, "r"), [*keys, "_k"])
+    first = F.try_element_at(F.array_intersect("_sl", "_sr"), F.lit(1)) == F.col("_k")
+    common = F.size(F.array_intersect("_l", "_r"))
+    return met.where(first & enough(common, F.size("_l"), F.size("_r"))).select(*keys, a, b)

@@ -92,12 +92,10 @@ def fuzzy_pairs(words: DataFrame, terms: DataFrame, min_ratio: float = 60.0) ->
     then runs once per surviving distinct pair.
     """
     share = min_ratio / (200.0 - min_ratio) - 1e-9
-    w = words.select("word", F.explode(sim.char_signature(F.col("word"), share)).alias("k"))
-    t = terms.select("term_key", F.explode(sim.char_signature(F.col("term_key"), share)).alias("k"))
-    lw, lt = F.length("word"), F.length("term_key")
-    near = (F.least(lw, lt) >= F.greatest(lw, lt) * share) & (F.col("word") != F.col("term_key"))
-    cand = w.join(t, "k").where(near).select("word", "term_key").distinct()
-    scored = cand.withColumn("ratio", sim.indel_ratio_udf("word", "term_key"))
+    need = min_ratio / 200.0 - 1e-9
+    enough = lambda common, la, lb: common >= (la + lb) * need
+    cand = sim.char_blocked_pairs(words.select("word"), "word", terms.select("term_key"), "term_key", [], share, enough)
+    scored = cand.where(F.col("word") != F.col("term_key")).withColumn("ratio", sim.indel_ratio_udf("word", "term_key"))
     return scored.where(F.col("ratio") >= min_ratio)
 
 
