@@ -29,14 +29,15 @@ def segments(t) -> DataFrame:
 
 def words(t) -> DataFrame:
     return t.segments.select(
-        "file_id", "segment_id", "start_s", "end_s", "speaker", F.posexplode(tokens("text")).alias("pos", "word")
-    ).withColumn("probability", ((F.col("pos") * 11 + F.length("word") * 37) % 100).cast("double") / 100)
+        "file_id", "segment_id", "start_s", "end_s", "speaker", F.posexplode_outer(tokens("text")).alias("pos", "word")
+    ).where("word IS NOT NULL").withColumn("probability", ((F.col("pos") * 11 + F.length("word") * 37) % 100).cast("double") / 100)
 
 
 def vocab(t) -> DataFrame:
     counted = (
         t.documents.where("lang = 'en'")
-        .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word"))
+        .select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word"))
+        .where("word IS NOT NULL")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -89,8 +90,8 @@ def pairs(t) -> DataFrame:
     )
     utts = t.documents.select(
         F.col("doc_id").alias("file_id"), F.col("source").alias("dataset"), F.col("lang").alias("accent"),
-        F.posexplode(F.filter(trimmed, lambda s: s != "")).alias("utt", "ref"),
-    )
+        F.posexplode_outer(F.filter(trimmed, lambda s: s != "")).alias("utt", "ref"),
+    ).where("ref IS NOT NULL")
 
     def noise(w, i):
         k = ((i + 1) * 7 + F.col("utt") * 3 + F.col("file_id")) % 23
@@ -151,7 +152,7 @@ def steps(t) -> DataFrame:
 
 def examples(t) -> DataFrame:
     ws = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))))
-    d = t.documents.select("doc_id", "source", F.posexplode(ws).alias("_p", "word")).withColumn("i", F.col("_p") + 1)
+    d = t.documents.select("doc_id", "source", F.posexplode_outer(ws).alias("_p", "word")).where("word IS NOT NULL").withColumn("i", F.col("_p") + 1)
     d = d.join(t.labels, "doc_id", "left")
     n, k = F.length("word"), F.col("doc_id") + F.col("i")
     w = F.col("word")

@@ -536,7 +536,7 @@ def _(t):
 # lips
 # --------------------------------------------------------------------------
 
-MAR_SQL = """mar AS (SELECT file_id, segment_id, frame_no, round(nose_x, 1) AS face, CASE WHEN sqrt((left_x - right_x) ** 2 + (left_y - right_y) ** 2) < 1e-6 THEN 0
+MAR_SQL = """mar AS (SELECT file_id, segment_id, frame_no, round(nose_x, 1) + 0.0::DOUBLE AS face, CASE WHEN sqrt((left_x - right_x) ** 2 + (left_y - right_y) ** 2) < 1e-6 THEN 0
  ELSE sqrt((upper_x - lower_x) ** 2 + (upper_y - lower_y) ** 2) / sqrt((left_x - right_x) ** 2 + (left_y - right_y) ** 2) END AS r FROM d_landmarks)"""
 
 

@@ -370,42 +370,60 @@ def plausibility(error: Column, term: Column, error_code: Column | None = None,
 _RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
 
 
-def numbered_chars(word: Column) -> Column:
-    """Characters made unique by occurrence, sorted rare first: a multiset as a set."""
+_LETTER_BITS = 2 * len(_RARE_FIRST)
+
+
+def char_bits(word: Column) -> Column:
+    """One bit number per character occurrence, rare characters first.
+
+    The first two occurrences of each listed letter have their own bit; anything
+    else is folded into the bits above. Equal occurrences always get equal bits.
+    """
 
     def number(cs: Column) -> Column:
-        return F.array_sort(
-            F.transform(
-                cs,
-                lambda c, i: F.concat(
-                    F.lpad(F.position(c, F.lit(_RARE_FIRST)).cast("string"), 2, "0"),
-                    c,
-                    F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c)).cast("string"),
-                ),
-            )
-        )
+        def bit(c: Column, i: Column) -> Column:
+            place = F.position(c, F.lit(_RARE_FIRST))
+            occ = F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c))
+            other = F.lit(_LETTER_BITS) + F.pmod(F.hash(c, occ), F.lit(62 - _LETTER_BITS))
+            return F.when((place > 0) & (occ <= 2), (place - 1) * 2 + occ - 1).otherwise(other)
+
+        return F.array_sort(F.transform(cs, bit))
 
     return let(chars(word), number)
 
 
+def _mask(bits: Column) -> Column:
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b)))
+
+
 def char_blocked_pairs(left: DataFrame, a: str, right: DataFrame, b: str, keys: list[str], min_share: float, enough) -> DataFrame:
     """Pairs of words that may share enough characters: ``keys, a, b``.
 
     Prefix filter (Chaudhuri et al. 2006; Bayardo et al. 2007): if two words share
     at least ``min_share`` of either one's characters as multisets, they share one
     of each one's rarest characters, so an equi-join on those loses no pair. A
-    pair is kept at its first common key only, and ``enough(common, la, lb)``
-    tests the true overlap; both inputs hold distinct words.
+    pair is kept at its lowest common key only. ``enough(common, la, lb)`` gets an
+    upper bound of the overlap from bit masks: folded bits can only raise it.
+    Both inputs hold distinct words.
     """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def keyed(df: DataFrame, c: str, tag: str) -> DataFrame:
-        full = df.withColumn(f"_{tag}", numbered_chars(F.col(c)))
-        n = F.size(f"_{tag}")
+        full = df.withColumn("_bits", char_bits(F.col(c)))
+        n = F.size("_bits")
         keep = F.least(n - F.ceil(n * min_share).cast("int") + 1, n)
-        sig = full.withColumn(f"_s{tag}", F.slice(f"_{tag}", 1, keep))
-        return sig.withColumn("_k", F.explode(f"_s{tag}"))
-
-    met = keyed(left, a, "l").join(keyed(right, b, "r"), [*keys, "_k"])
-    first = F.try_element_at(F.array_intersect("_sl", "_sr"), F.lit(1)) == F.col("_k")
-    common = F.size(F.array_intersect("_l", "_r"))
-    return met.where(first & enough(common, F.size("_l"), F.size("_r"))).select(*keys, a, b)
+        sig = full.withColumn("_sig", F.array_distinct(F.slice("_bits", 1, keep)))
+        mask = sig.withColumn(f"_m{tag}", _mask(F.col("_bits"))).withColumn(f"_s{tag}", _mask(F.col("_sig")))
+        sized = mask.withColumn(f"_n{tag}", n).withColumn(f"_f{tag}", n - F.bit_count(f"_m{tag}"))
+        return sized.withColumn("_k", F.explode_outer("_sig")).drop("_bits", "_sig")
+
+    # The outer explode keeps the optimiser from inferring (and pushing down) a
+    # size filter that would evaluate the bit arrays a second time.
+    # An explicit partition count keeps the heavy join spread although the word
+    # lists are small in bytes.
+    met = keyed(left.repartition(parts, *keys, a), a, "l").join(keyed(right, b, "r"), [*keys, "_k"])
+    below = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_k")) - 1
+    first = F.col("_sl").bitwiseAND(F.col("_sr")).bitwiseAND(below) == 0
+    common = F.bit_count(F.col("_ml").bitwiseAND(F.col("_mr"))) + F.least("_fl", "_fr")
+    return met.where(first & enough(common, F.col("_nl"), F.col("_nr"))).select(*keys, a, b)

@@ -107,7 +107,7 @@ def locate_in_files(items: DataFrame, texts: DataFrame, place, window: int = 80)
         F.struct(F.col("text").alias("t"), norm_ws("text").alias("n"), F.col("_items").alias("i")),
         lambda b: F.transform(b["i"], lambda item: with_position(item, b["t"], b["n"])),
     )
-    return rows.select("file_id", F.explode(bound).alias("x")).select("file_id", "x.item.*", "x.char_pos", "x.context")
+    return rows.select("file_id", F.explode_outer(bound).alias("x")).select("file_id", "x.item.*", "x.char_pos", "x.context")
 
 
 def rule_candidates(scored: DataFrame, segments: DataFrame, texts: DataFrame | None = None, ocr_window: float = 15.0) -> DataFrame:

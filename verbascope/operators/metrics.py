@@ -128,7 +128,7 @@ def tter_region_occurrences(pairs: DataFrame, vocab: DataFrame, keys: list[str],
             ),
         )
     )
-    occ = rows.select(*keys, F.explode(each).alias("o")).select(*keys, "o.*")
+    occ = rows.select(*keys, F.explode_outer(each).alias("o")).select(*keys, "o.*")
     full = occ.join(v, "term_key")
     found = F.contains(F.col("region"), F.col("term_key"))
     wrong = F.filter(F.arrays_zip("_errs", "known_errors"), lambda e: F.contains(F.col("region"), e["_errs"]))

@@ -107,7 +107,7 @@ def alignment_examples(pairs: DataFrame, keys: list[str], source: str, truth: st
         ctx = raw_context(text, F.position(x["hyp_word"], text) - 1)
         return x.withField("context", ctx)
 
-    rows = by_pair.select(*keys, F.explode(let(F.struct(F.col("xs").alias("xs"), F.col("_text").alias("t")), lambda b: F.transform(b["xs"], lambda x: item(x, b["t"])))).alias("x"))
+    rows = by_pair.select(*keys, F.explode_outer(let(F.struct(F.col("xs").alias("xs"), F.col("_text").alias("t")), lambda b: F.transform(b["xs"], lambda x: item(x, b["t"])))).alias("x"))
     at = F.position(F.col("x.hyp_word"), F.col("x.context"))
     fixed = F.when(at > 0, F.overlay("x.context", "x.ref_word", at, F.length("x.hyp_word"))).otherwise(F.col("x.context"))
     return rows.select(
