@@ -446,8 +446,8 @@ def _proposals(t):
 @query(
     "pool_override",
     f"""WITH {PROPOSALS_SQL}, o AS (SELECT * FROM prop WHERE term NOT IN (SELECT term_key FROM d_vocab)), pool AS (SELECT file_id, term, min(seq) AS place FROM o GROUP BY ALL),
- c AS (SELECT o.file_id, o.seq, p.term AS new_term, jaro_winkler_similarity(o.error_found, p.term) AS s, p.place FROM o JOIN pool p ON p.file_id = o.file_id AND p.term <> o.term AND p.term <> o.error_found
-   WHERE o.error_found <> o.term AND jaro_winkler_similarity(o.error_found, p.term) > 0.75 AND jaro_winkler_similarity(o.error_found, p.term) > jaro_winkler_similarity(o.error_found, o.term)),
+ c AS (SELECT o.file_id, o.seq, p.term AS new_term, round(jaro_winkler_similarity(o.error_found, p.term), 10) AS s, p.place FROM o JOIN pool p ON p.file_id = o.file_id AND p.term <> o.term AND p.term <> o.error_found
+   WHERE o.error_found <> o.term AND round(jaro_winkler_similarity(o.error_found, p.term), 10) > 0.75 AND round(jaro_winkler_similarity(o.error_found, p.term), 10) > round(jaro_winkler_similarity(o.error_found, o.term), 10)),
  b AS (SELECT file_id, seq, new_term FROM (SELECT *, row_number() OVER (PARTITION BY file_id, seq ORDER BY s DESC, place) AS r FROM c) WHERE r = 1)
 SELECT prop.file_id, prop.seq, prop.term, b.new_term FROM prop LEFT JOIN b ON b.file_id = prop.file_id AND b.seq = prop.seq""",
 )
@@ -584,3 +584,55 @@ def _(t):
         F.when(k % 4 == 0, "some words").alias("lip_transcript"), F.lit(1).alias("num_faces"),
     )
     return lips.usable_hints(_eligible(t), h).select("file_id", "segment_id", "confidence")
+
+
+# --------------------------------------------------------------------------
+# whole correction and analysis runs
+# --------------------------------------------------------------------------
+
+
+def _run(t):
+    from verbascope.plans.correction import CorrectionInputs, CorrectionSettings, correct_corpus
+
+    none = t.vocab.where("pos % 25 = 0").agg(F.collect_list("term").alias("ts")).withColumn("_k", F.lit(1))
+    files = t.noisy_segments.select("file_id").distinct().withColumn("_k", F.lit(1))
+    screen = files.join(F.broadcast(none), "_k").select("file_id", F.posexplode("ts").alias("pos", "term"), F.lit("product").alias("type"))
+    inputs = CorrectionInputs(
+        segments=t.noisy_segments, words=t.noisy_words, vocab=t.vocab, detections=t.detections, answers=t.answers,
+        retranscripts=t.retranscripts, frames=t.frames.select("file_id", "ts", "text"), screen_terms=screen,
+    )
+    return correct_corpus(inputs, CorrectionSettings())
+
+
+@query(
+    "correction_run_texts",
+    "SELECT file_id, count(*) AS n_segments FROM d_noisy_segments GROUP BY file_id",
+)
+def _(t):
+    r = _run(t)
+    return r.segments.groupBy("file_id").agg(F.count("*").alias("n_segments"))
+
+
+@query("correction_run_report")
+def _(t):
+    return _run(t).report.withColumn("results", F.array_join("results", "; "))
+
+
+@query("correction_run_examples")
+def _(t):
+    e = _run(t).examples
+    return e.select("metadata.file_id", "metadata.term", "metadata.category", "metadata.error_found", F.size("messages").alias("n_messages"))
+
+
+@query(
+    "analysis_run",
+    """SELECT s.file_id, 'field' AS field, any_value(s.speaker) IS NOT NULL AS ok, (SELECT count(*) FROM d_noisy_words w WHERE w.file_id = s.file_id AND w.word <> w.clean_word) > 0 AS has_errors
+FROM d_noisy_segments s WHERE s.file_id IN (SELECT file_id FROM d_noisy_words WHERE word <> clean_word) GROUP BY s.file_id""",
+)
+def _(t):
+    from verbascope.plans.correction import analyse_corpus
+
+    topics = t.noisy_segments.groupBy("file_id").agg(F.lit('{"field":"field","topic":"x"}').alias("response"))
+    a = analyse_corpus(t.noisy_segments, t.noisy_words, t.vocab, t.detections.where("n_bad > 0"), topics)
+    quiet = t.flagged.select("file_id").distinct()
+    return a.join(quiet, "file_id", "left_semi").select("file_id", "field", F.lit(True).alias("ok"), (F.col("n_errors") > 0).alias("has_errors"))

@@ -282,7 +282,8 @@ def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+    # Ten digits, so that equal similarities compare as equal.
+    return pd.Series([round(jaro_winkler(x, y), 10) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())
