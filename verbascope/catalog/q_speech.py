@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verbascope.catalog.q_text import strip, ws
-from verbascope.catalog.registry import query
+from verbascope.catalog.registry import query, stored
 from verbascope.functions import similarity as sim, text as tx
 from verbascope.operators import alternatives as alt
 from verbascope.operators import detection as de
@@ -363,12 +363,14 @@ def _(t):
 
 @query("rule_segment_analysis")
 def _(t):
+    stored(t, "vocab", "noisy_words", "noisy_segments")
     a, _ = de.detect_errors_rules(t.noisy_words, t.noisy_segments, t.vocab)
     return a.withColumn("reasons", F.array_join("reasons", ";"))
 
 
 @query("rule_candidates")
 def _(t):
+    stored(t, "vocab", "noisy_words", "noisy_segments")
     _, c = de.detect_errors_rules(t.noisy_words, t.noisy_segments, t.vocab)
     return c.withColumn("known_errors", F.array_join("known_errors", "|")).withColumn("timestamp_start", F.round("timestamp_start", 6)).withColumn("timestamp_end", F.round("timestamp_end", 6))
 
@@ -409,6 +411,7 @@ def _(t):
 
 @query("detector_with_rule_fallback")
 def _(t):
+    stored(t, "vocab", "noisy_words", "noisy_segments", "detections")
     det = de.attach_detections(t.detections.where("file_id % 3 <> 0 OR n_bad < 0"), t.noisy_segments, t.vocab)
     _, rules = de.detect_errors_rules(t.noisy_words, t.noisy_segments, t.vocab)
     c = de.with_rule_fallback(det, rules)
@@ -500,6 +503,7 @@ def _(t):
 
 
 def _reconciled(t):
+    stored(t, "vocab", "noisy_words", "noisy_segments", "detections", "retranscripts", "answers")
     cand = _detected(t).where("file_id % 2 = 0")
     protected = t.vocab.where("pos % 25 = 0").select("term").withColumn("_k", F.lit(1)).join(t.noisy_segments.select("file_id").distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
     lines = ev.quick_hints(ev.screen_lines(t.frames)).select("file_id", "line")
@@ -594,6 +598,7 @@ def _(t):
 def _run(t):
     from verbascope.plans.correction import CorrectionInputs, CorrectionSettings, correct_corpus
 
+    stored(t, "vocab", "noisy_words", "noisy_segments", "detections", "retranscripts", "answers")
     none = t.vocab.where("pos % 25 = 0").agg(F.collect_list("term").alias("ts")).withColumn("_k", F.lit(1))
     files = t.noisy_segments.select("file_id").distinct().withColumn("_k", F.lit(1))
     screen = files.join(F.broadcast(none), "_k").select("file_id", F.posexplode("ts").alias("pos", "term"), F.lit("product").alias("type"))
@@ -632,6 +637,7 @@ FROM d_noisy_segments s WHERE s.file_id IN (SELECT file_id FROM d_noisy_words WH
 def _(t):
     from verbascope.plans.correction import analyse_corpus
 
+    stored(t, "vocab", "noisy_words", "noisy_segments", "detections")
     topics = t.noisy_segments.groupBy("file_id").agg(F.lit('{"field":"field","topic":"x"}').alias("response"))
     a = analyse_corpus(t.noisy_segments, t.noisy_words, t.vocab, t.detections.where("n_bad > 0"), topics)
     quiet = t.flagged.select("file_id").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verbascope.catalog import derive
 from verbascope.catalog.derived_sql import DERIVED_SQL
+from verbascope.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +45,14 @@ class Tables:
         return df
 
 
+def stored(t: Tables, *names: str) -> Tables:
+    """Write derived tables once, as they would be stored in practice, so that a
+    plan which reads them many times scans them instead of deriving them again."""
+    for name in names:
+        setattr(t, name, materialise(getattr(t, name), name))
+    return t
+
+
 def compose(sql: str) -> str:
     """Prefix a query with the derived tables (``d_*``) it uses, in dependency order."""
     order: list[str] = []
