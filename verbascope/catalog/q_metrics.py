@@ -11,12 +11,14 @@ from verbascope.operators import metrics as me
 
 KEYS = ["file_id", "utt"]
 ENC = "array_to_string(list_transform({0}, lambda x: chr(CAST(list_position({1}, x) AS INT))), '')".format
-CORRECTED = F.regexp_replace("hyp", "(^| )zz", "$1")
+def corrected():
+    """The noisy text with the marked words restored."""
+    return F.regexp_replace("hyp", "(^| )zz", "$1")
 
 
 def rates(t):
     """Per utterance: word counts and errors of the raw and the corrected text."""
-    base = me.word_error_rates(t.pairs).select(*KEYS, "dataset", "accent", "ref", CORRECTED.alias("cor"), F.col("word_errors").alias("base_errors"))
+    base = me.word_error_rates(t.pairs).select(*KEYS, "dataset", "accent", "ref", corrected().alias("cor"), F.col("word_errors").alias("base_errors"))
     both = me.word_error_rates(base, "ref", "cor")
     return both.select(*KEYS, "dataset", "accent", "ref_word_count", F.col("base_errors").alias("word_errors"), F.col("word_errors").alias("cor_errors"))
 

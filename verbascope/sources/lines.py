@@ -158,7 +158,7 @@ def sentence_chunks(df: DataFrame, keys: list[str], text: str, size: int = 5000,
 
 def _whole_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file_name"), "value")
     )
 

@@ -23,7 +23,7 @@ def read_transcripts(spark: SparkSession, path: str, suffix: str = ".json") -> D
 
 def read_eval_pairs(spark: SparkSession, root: str, dataset: str, truth: str = TRUTH_SUFFIX, transcript: str = TRANSCRIPT_SUFFIX) -> DataFrame:
     """Ground truth joined with its transcript; files without a partner are skipped."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{truth}").text(root).select(
+    t = spark.read.option("pathGlobFilter", f"*{truth}").text(root, wholetext=True).select(
         F.replace(F.col("_metadata.file_name"), F.lit(truth), F.lit("")).alias("file_id"), F.col("value").alias("gt_text")
     )
     j = spark.read.schema(schemas.TRANSCRIPT_JSON).option("multiLine", True).option("pathGlobFilter", f"*{transcript}").json(root).select(
@@ -34,7 +34,7 @@ def read_eval_pairs(spark: SparkSession, root: str, dataset: str, truth: str = T
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """Vocabulary JSON, either ``{"terms": [...]}`` or a bare array of terms."""
-    d = spark.read.option("wholetext", True).text(path)
+    d = spark.read.text(path, wholetext=True)
     item = "array<struct<term:string,category:string,known_errors:array<string>>>"
     boxed = F.from_json("value", schemas.VOCAB_JSON)["terms"]
     bare = F.from_json(F.concat(F.lit('{"terms":'), "value", F.lit("}")), schemas.VOCAB_JSON)["terms"]
@@ -74,7 +74,7 @@ def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
 def manifest(spark: SparkSession, root: str, curated: DataFrame, truth: str = TRUTH_SUFFIX, transcript: str = TRANSCRIPT_SUFFIX, plain: str = PLAIN_SUFFIX) -> DataFrame:
     """Files that have ground truth, transcript JSON and plain text, with curated
     attributes (``unknown`` by default). Sizes come from the two text files."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{{{truth},{plain}}}").text(root).select(
+    texts = spark.read.option("pathGlobFilter", f"*{{{truth},{plain}}}").text(root, wholetext=True).select(
         F.col("_metadata.file_name").alias("n"), F.col("_metadata.file_path").alias("p"), F.length("value").alias("chars")
     )
     docs = spark.read.format("binaryFile").option("pathGlobFilter", f"*{transcript}").load(root).select(
