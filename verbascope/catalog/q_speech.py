@@ -412,7 +412,7 @@ def _(t):
 @query("detector_with_rule_fallback")
 def _(t):
     stored(t, "vocab", "noisy_words", "noisy_segments", "detections")
-    det = de.attach_detections(t.detections.where("file_id % 3 <> 0 OR n_bad < 0"), t.noisy_segments, t.vocab)
+    det = de.attach_detections(t.detections.where("n_bad > 1"), t.noisy_segments, t.vocab)
     _, rules = de.detect_errors_rules(t.noisy_words, t.noisy_segments, t.vocab)
     c = de.with_rule_fallback(det, rules)
     return c.select("file_id", "segment_id", "term", "error_found", "char_position")
@@ -504,8 +504,8 @@ def _(t):
 
 def _reconciled(t):
     stored(t, "vocab", "noisy_words", "noisy_segments", "detections", "retranscripts", "answers")
-    cand = _detected(t).where("file_id % 2 = 0")
-    protected = t.vocab.where("pos % 25 = 0").select("term").withColumn("_k", F.lit(1)).join(t.noisy_segments.select("file_id").distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
+    cand = _detected(t).where("category <> 'feature'")
+    protected = t.vocab.where("category = 'person_name'").select("term").withColumn("_k", F.lit(1)).join(t.noisy_segments.select("file_id").distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
     lines = ev.quick_hints(ev.screen_lines(t.frames)).select("file_id", "line")
     return rc.reconcile(t.noisy_segments, t.retranscripts, t.answers, t.vocab, cand, protected, lines)
 
@@ -599,7 +599,7 @@ def _run(t):
     from verbascope.plans.correction import CorrectionInputs, CorrectionSettings, correct_corpus
 
     stored(t, "vocab", "noisy_words", "noisy_segments", "detections", "retranscripts", "answers")
-    none = t.vocab.where("pos % 25 = 0").agg(F.collect_list("term").alias("ts")).withColumn("_k", F.lit(1))
+    none = t.vocab.where("category = 'person_name'").agg(F.collect_list("term").alias("ts")).withColumn("_k", F.lit(1))
     files = t.noisy_segments.select("file_id").distinct().withColumn("_k", F.lit(1))
     screen = files.join(F.broadcast(none), "_k").select("file_id", F.posexplode("ts").alias("pos", "term"), F.lit("product").alias("type"))
     inputs = CorrectionInputs(

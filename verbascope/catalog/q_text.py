@@ -292,11 +292,11 @@ def _(t):
     )
 
 
-KEYWORDS_SQL = "SELECT term_key AS kw FROM d_vocab WHERE pos % 10 = 0"
+KEYWORDS_SQL = "SELECT term_key AS kw FROM d_vocab WHERE category = 'tech_term'"
 
 
 def _keywords(t):
-    return t.vocab.where("pos % 10 = 0").select(F.col("term_key").alias("keyword"))
+    return t.vocab.where("category = 'tech_term'").select(F.col("term_key").alias("keyword"))
 
 
 TOK_SQL = r"SELECT doc_id AS file_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*')) AS w FROM documents"
@@ -355,10 +355,10 @@ def _(t):
 @query(
     "entity_words",
     r"""SELECT doc_id, CAST(count(*) AS BIGINT) AS n, string_agg(w, ' ' ORDER BY w) AS words FROM (
- SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z0-9]+)(?:$|[^\p{L}\p{N}_])', 1), lambda w: length(w) >= 4))) AS w FROM documents WHERE lang = 'en') GROUP BY doc_id""",
+ SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z0-9]+)(?:$|[^\p{L}\p{N}_])', 1), lambda w: length(w) >= 4))) AS w FROM documents) GROUP BY doc_id""",
 )
 def _(t):
-    w = t.documents.where("lang = 'en'").select("doc_id", tx.entity_words("text").alias("a")).where(F.size("a") > 0)
+    w = t.documents.select("doc_id", tx.entity_words("text").alias("a")).where(F.size("a") > 0)
     return w.select("doc_id", F.size("a").cast("bigint").alias("n"), F.array_join(F.array_sort("a"), " ").alias("words"))
 
 
