@@ -30,7 +30,7 @@ CHUNK_IDS = 65_536
 CACHE_ENTRIES = 1_000_000
 # White space other than the space and the line feed.
 ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-ODD_WIDE_SPACE = "\x85\xa0                　"
+ODD_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class CachedEncoder:
