@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbascope.llm.chat import ANY_CONTROL, CLOSE, OPEN, canonical_turns, chat_digests, format_chat
 from verbascope.llm.line_dedup import dedup_lines
+from verbascope.llm.mixing import mixed_sizes
 from verbascope.llm.registry import ORACLES, QUERIES, query, table
 from verbascope.llm.token_counts import count_tokens
 from verbascope.llm.token_files import read_token_files, write_token_files
@@ -21,6 +25,65 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+OP1_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM sized GROUP BY source
+), needs AS (
+  SELECT *, sum(source_size) OVER () AS total,
+         sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest
+  FROM sources
+), filled AS (SELECT *, rest * w >= 3 * source_size * w_rest AS full_up FROM needs),
+targets AS (
+  SELECT source, source_size, CASE WHEN full_up THEN (3 * source_size)::DOUBLE
+         ELSE (w * (total - coalesce(sum(3 * source_size) FILTER (WHERE full_up) OVER (), 0)))::DOUBLE / sum(w) FILTER (WHERE NOT full_up) OVER () END AS target
+  FROM filled
+), placed AS (
+  SELECT sized.*, source_size, target, round(target)::BIGINT AS quota,
+         sum(size) OVER (PARTITION BY sized.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(least(start + size, quota % source_size) - start, 0) END::BIGINT AS taken
+FROM placed
+"""
+
+
+@query("op1_mixed_sources", OP1_SQL)
+def op1_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+OP2_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum({len(OPEN) + len(CLOSE) + 2} + length(url_encode(role)) + length(text)
+           + len(regexp_extract_all(text, '{ANY_CONTROL}')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query("op2_chat_format", OP2_SQL)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows are records of one turn; conversation -1 comes as a messages record."""
+    rows = table(spark, sf_dir, "conversations")
+    records = rows.select("conv_id", F.to_json(F.struct("turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    said = "</s>[INST] ok [/INST]"
+    extra = json.dumps({"messages": [{"role": "user", "content": said}, {"role": "assistant", "content": said}]})
+    records = records.unionAll(spark.range(1).select(F.lit(-1).cast("long"), F.lit(extra)))
+    return chat_digests(format_chat(canonical_turns(records)))
+
+
 OP4_SQL = """
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
