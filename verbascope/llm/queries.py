@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verbascope.llm.chat import ANY_CONTROL, CLOSE, OPEN, canonical_turns, chat_digests, format_chat
 from verbascope.llm.line_dedup import dedup_lines
 from verbascope.llm.mixing import mixed_sizes
+from verbascope.llm.neighbours import nearest
 from verbascope.llm.registry import ORACLES, QUERIES, query, table
 from verbascope.llm.token_counts import count_tokens
 from verbascope.llm.token_files import read_token_files, write_token_files
@@ -84,6 +85,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chat(canonical_turns(records)))
 
 
+@query("op3_nearest_neighbours")
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 OP4_SQL = """
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
