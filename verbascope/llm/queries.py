@@ -11,6 +11,7 @@ from verbascope.llm.chat import ANY_CONTROL, CLOSE, OPEN, canonical_turns, chat_
 from verbascope.llm.line_dedup import dedup_lines
 from verbascope.llm.mixing import mixed_sizes
 from verbascope.llm.neighbours import nearest
+from verbascope.llm.quality import classify
 from verbascope.llm.registry import ORACLES, QUERIES, query, table
 from verbascope.llm.token_counts import count_tokens
 from verbascope.llm.token_files import read_token_files, write_token_files
@@ -115,6 +116,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def token_file_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder, read them back and digest each document."""
     path = scratch_dir(spark, "token-files")
