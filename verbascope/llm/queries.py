@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbascope.llm.chat import ANY_CONTROL, CLOSE, OPEN, canonical_turns, chat_digests, format_chat
+from verbascope.llm.decontaminate import find_passages
 from verbascope.llm.line_dedup import dedup_lines
 from verbascope.llm.mixing import mixed_sizes
 from verbascope.llm.neighbours import nearest
@@ -116,6 +117,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+@query("op6_benchmark_passages")
+def op6_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
