@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def worker_cache(name: str) -> dict:
@@ -20,6 +21,18 @@ def worker_cache(name: str) -> dict:
     return vars(sys).setdefault("_verbascope_caches", {}).setdefault(name, {})
 
 
+def kept(make: Callable) -> Callable:
+    """Remember the results of a function of few different arguments in the worker."""
+
+    def look_up(*args):
+        found = worker_cache(make.__qualname__)
+        if args not in found:
+            found[args] = make(*args)
+        return found[args]
+
+    return look_up
+
+
 def pieces(n_rows: int, per_part: int) -> int:
     """Number of parts that keeps each near ``per_part`` rows; it grows with the input."""
     return max(1, math.ceil(n_rows / per_part))
@@ -48,3 +61,37 @@ def word_count(text: str | Column) -> Column:
 def need(df: DataFrame, *columns: str) -> DataFrame:
     """Just the columns an operator reads: columns of other names cannot clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * M2
+    x = (x ^ (x >> np.uint64(27))) * M3
+    return x ^ (x >> np.uint64(31))
+
+
+@kept
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    base = 0xD6E8FEB86659FD93
+    up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+@kept
+def byte_values() -> np.ndarray:
+    return mix64(np.arange(1, 257, dtype=np.uint64) * M1)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word, in order; words are parted by the byte 32 alone.
+
+    One running sum over all bytes gives every word's polynomial hash by two look-ups.
+    """
+    raw = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
+    up, down = powers(1 << max(16, len(raw).bit_length()))
+    total = np.r_[np.uint64(0), np.cumsum(byte_values()[raw] * down[: len(raw)], dtype=np.uint64)]
+    edge = np.flatnonzero(np.diff(np.r_[False, raw != 32, False].astype(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
+    return text, mix64((total[last] - total[first]) * up[first])

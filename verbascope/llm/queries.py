@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from verbascope.llm.chat import ANY_CONTROL, CLOSE, OPEN, canonical_turns, chat_digests, format_chat
 from verbascope.llm.decontaminate import find_passages
 from verbascope.llm.line_dedup import dedup_lines
+from verbascope.llm.lm_score import score_documents
 from verbascope.llm.mixing import mixed_sizes
+from verbascope.llm.near_copies import near_copies
 from verbascope.llm.neighbours import nearest
 from verbascope.llm.quality import classify
 from verbascope.llm.registry import ORACLES, QUERIES, query, table
@@ -122,6 +124,38 @@ def op6_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_ngram_jaccard")
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = """
+WITH words AS (
+  SELECT doc_id, pos, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS p
+  FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos
+        FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents))
+), counted AS (
+  SELECT *, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS others,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+         count(*) OVER (PARTITION BY p, w) - count(*) OVER (PARTITION BY doc_id, p, w) AS c2
+  FROM words
+), ready AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY pos) AS c1_before FROM counted),
+scored AS (
+  SELECT doc_id, CASE WHEN p IS NOT NULL AND c2 > 0 THEN log10(c2 / c1_before)
+                      WHEN c1 > 0 THEN CASE WHEN p IS NULL THEN 0 ELSE log10(0.4::DOUBLE) END + log10(c1 / others)
+                      ELSE CASE WHEN p IS NULL THEN 1 ELSE 2 END * log10(0.4::DOUBLE) - log10(others + 1) END AS s
+  FROM ready
+)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, round(mean, 6) AS score
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n_words, avg(s) AS mean FROM scored GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@query("op8_lm_scores", OP8_SQL)
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
