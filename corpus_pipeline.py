@@ -1,27 +1,60 @@
-"""A training corpus from raw documents: the stages, in order, and their run."""
+"""A training corpus from raw documents: the stages, in order, and their run.
+
+Every stage takes all documents its predecessor kept and returns documents with the
+same columns, but for the last, which returns the digests of the token files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from verbascope.llm import decontaminate, mixing, near_copies, quality
 from verbascope.llm.queries import token_file_digests
 from verbascope.session import materialise
 
-# No stage can be said in SQL: they learn, hash and tokenise. Tests hold them against brute force.
+# No stage can be said in SQL: they learn, hash, align and tokenise. Tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, predicts to be good."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality.score_text(model, F.col("text")) >= 0.5)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class of near copies."""
+    return near_copies.one_of_each(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, each as often as the mix of the sources takes it."""
+    return mixing.mixed_documents(mixing.mix(docs), docs.columns)
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id files of what is left; their digests by document."""
     return token_file_digests(spark, docs)
 
 
-STAGES = [("token-ID / binary output", write_tokens)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("benchmark decontamination", keep_clean),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, f"stage{k}")
