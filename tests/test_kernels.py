@@ -85,7 +85,28 @@ def test_fuzzy_blocking_loses_no_pair(spark):
     got = {(x.word, x.term_key) for x in vo.fuzzy_pairs(l, r).collect()}
     assert got == {(a, b) for a in left for b in right if a != b and sim.indel_ratio(a, b) >= 60}
     jw = similar_pairs(l.withColumnRenamed("word", "a"), r.withColumnRenamed("term_key", "b"), [], 0.75)
-    assert {(x.a, x.b) for x in jw.collect()} == {(a, b) for a in left for b in right if round(sim.jaro_winkler(a, b), 10) > 0.75}
+    assert {(x.a, x.b) for x in jw.collect()} == {(a, b) for a in left for b in right if sim.jaro_winkler(a, b) > 0.75}
+
+
+def test_batch_kernels_are_the_scalar_ones():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcé日") for _ in range(rnd.choice([0, 1, 2, 3, 5, 8, 20, 63, 64, 65, 90])))
+    a, b = [word() for _ in range(3000)], [word() for _ in range(3000)]
+    assert sim.jaro_winklers(a, b).tolist() == [sim.jaro_winkler(x, y) for x, y in zip(a, b)]
+    assert sim.indel_ratios(a, b).tolist() == [sim.indel_ratio(x, y) for x, y in zip(a, b)]
+
+
+def test_limit_is_not_rounded():
+    assert sim.jaro_winkler("erbleanatingble", "ention") > 0.75
+
+
+def test_word_blocks_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(sim, "BLOCK_WORDS", 7)
+    left, right = [f"word{k}" for k in range(30)] + [None], [f"ward{k}" for k in range(20)]
+    l, r = spark.createDataFrame([(x,) for x in left], "word string"), spark.createDataFrame([(x,) for x in right], "term_key string")
+    got = [(x.word, x.term_key) for x in vo.fuzzy_pairs(l, r, 80.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in left[:-1] for b in right if sim.indel_ratio(a, b) >= 80}
+    assert vo.fuzzy_pairs(l.limit(0), r).count() == 0
 
 
 def test_plausibility_guards(spark):

@@ -9,7 +9,9 @@ from verbascope.functions.text import EDGE_PUNCT, tokens
 from verbascope.operators.intervals import overlap_join
 from verbascope.operators.ordered import running
 from verbascope.operators.ranges import merge_ranges
-from verbascope.operators.vocabulary import bounded_broadcast
+
+# Words said this often in the documents are the vocabulary: it grows with the tables.
+VOCAB_TIMES = 32
 
 TRIM = lambda c: F.lower(F.btrim(c, F.lit(EDGE_PUNCT)))
 
@@ -35,18 +37,16 @@ def words(t) -> DataFrame:
 
 def vocab(t) -> DataFrame:
     counted = (
-        t.documents.where("lang = 'en'")
-        .select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word"))
+        t.documents.select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word"))
         .where("word IS NOT NULL")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= VOCAB_TIMES)
     )
-    top = counted.orderBy(F.desc("n"), "word").limit(200)
-    # At most 200 rows are left here, so one array holds them and numbers them.
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "word"))).alias("a")).select(
-        F.posexplode("a").alias("pos", "r")
-    )
-    word = F.col("r.word")
+    chunk = F.struct(-F.col("n"), F.substring("word", 1, 2))
+    ranked = running(counted, [], chunk, [F.desc("n"), F.col("word")], F.lit(1), "_before")
+    ranked = ranked.withColumn("pos", F.coalesce("_before", F.lit(0)).cast("int"))
+    word = F.col("word")
     kinds = F.array(*[F.lit(c) for c in ("person_name", "product_name", "tech_term", "content_word", "feature")])
     return ranked.select(
         word.alias("term"), word.alias("term_key"),
@@ -62,7 +62,7 @@ def errors(t) -> DataFrame:
 
 
 def noisy_words(t) -> DataFrame:
-    e = bounded_broadcast(t.errors.select("error_key", "term_key"))
+    e = t.errors.select("error_key", "term_key")
     joined = t.words.withColumn("_k", TRIM(F.col("word"))).join(e, F.col("_k") == F.col("term_key"), "left")
     bad = F.col("error_key").isNotNull() & ((F.col("segment_id") + F.col("pos")) % 3 == 0)
     return joined.select(

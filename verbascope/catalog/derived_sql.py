@@ -18,8 +18,7 @@ SELECT term, term AS term_key, category, known_errors, pos FROM (
          WHEN 3 THEN 'content_word' ELSE 'feature' END AS category,
     CASE WHEN (row_number() OVER (ORDER BY n DESC, word) - 1) % 3 = 2 THEN CAST([] AS VARCHAR[]) ELSE [substr(word, 1, 2) || substr(word, 4)] END AS known_errors
   FROM (SELECT word, count(*) AS n FROM (
-    SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM documents WHERE lang = 'en') GROUP BY word))
-WHERE pos < 200""",
+    SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM documents) GROUP BY word HAVING count(*) >= 32))""",
     "d_errors": "SELECT unnest(known_errors) AS error_key, term, term_key, category, pos FROM d_vocab",
     "d_lookup": "SELECT error_key, max_by(term, pos) AS term, max_by(category, pos) AS category, max_by(term_key, pos) AS term_key FROM d_errors GROUP BY error_key",
     "d_noisy_words": r"""

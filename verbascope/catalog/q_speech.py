@@ -198,8 +198,8 @@ def _(t):
 SELECT file_id, CAST(place AS INT) AS place, term FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY o, term) AS place FROM u) WHERE place <= 80""",
 )
 def _(t):
-    # The vocabulary has at most 200 rows and travels as one array per file.
-    terms = t.vocab.agg(F.collect_list(F.struct("term", "pos")).alias("vs")).withColumn("_k", F.lit(1))
+    # The union's own limit is 80 places and the vocabulary comes first: later terms can take none.
+    terms = t.vocab.where("pos < 80").agg(F.collect_list(F.struct("term", "pos")).alias("vs")).withColumn("_k", F.lit(1))
     files = t.flagged.select("file_id").distinct().withColumn("_k", F.lit(1))
     a = files.join(F.broadcast(terms), "_k").select("file_id", F.inline("vs"))
     b = t.noisy_words.where("word <> clean_word").select("file_id", F.col("clean_word").alias("term"), (F.col("segment_id") * 10000 + F.col("pos")).alias("pos"))
@@ -449,9 +449,9 @@ def _proposals(t):
 @query(
     "pool_override",
     f"""WITH {PROPOSALS_SQL}, o AS (SELECT * FROM prop WHERE term NOT IN (SELECT term_key FROM d_vocab)), pool AS (SELECT file_id, term, min(seq) AS place FROM o GROUP BY ALL),
- c AS (SELECT o.file_id, o.seq, p.term AS new_term, round(jaro_winkler_similarity(o.error_found, p.term), 10) AS s, p.place FROM o JOIN pool p ON p.file_id = o.file_id AND p.term <> o.term AND p.term <> o.error_found
-   WHERE o.error_found <> o.term AND round(jaro_winkler_similarity(o.error_found, p.term), 10) > 0.75 AND round(jaro_winkler_similarity(o.error_found, p.term), 10) > round(jaro_winkler_similarity(o.error_found, o.term), 10)),
- b AS (SELECT file_id, seq, new_term FROM (SELECT *, row_number() OVER (PARTITION BY file_id, seq ORDER BY s DESC, place) AS r FROM c) WHERE r = 1)
+ c AS (SELECT o.file_id, o.seq, p.term AS new_term, jaro_winkler_similarity(o.error_found, p.term) AS s, p.place FROM o JOIN pool p ON p.file_id = o.file_id AND p.term <> o.term AND p.term <> o.error_found
+   WHERE o.error_found <> o.term AND jaro_winkler_similarity(o.error_found, p.term) > 0.75 AND jaro_winkler_similarity(o.error_found, p.term) > jaro_winkler_similarity(o.error_found, o.term)),
+ b AS (SELECT file_id, seq, new_term FROM (SELECT *, row_number() OVER (PARTITION BY file_id, seq ORDER BY round(s, 10) DESC, place) AS r FROM c) WHERE r = 1)
 SELECT prop.file_id, prop.seq, prop.term, b.new_term FROM prop LEFT JOIN b ON b.file_id = prop.file_id AND b.seq = prop.seq""",
 )
 def _(t):
@@ -462,7 +462,7 @@ def _(t):
     "snippet_override",
     rf"""WITH {PROPOSALS_SQL}, sn AS (SELECT substr(k, 1, 99) AS query_key, row_number() OVER (PARTITION BY k ORDER BY item_id) AS rank, text FROM (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS k FROM benchmark)),
  ent AS (SELECT DISTINCT query_key, unnest(list_filter(regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])([A-Z][a-zA-Z0-9]+)(?:$|[^\p{{L}}\p{{N}}_])', 1), lambda x: length(x) >= 4)) AS e FROM sn WHERE rank <= 3),
- ask AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS r FROM prop WHERE error_found <> term) WHERE r <= 8),
+ ask AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq) AS r FROM prop WHERE error_found <> term AND term NOT IN (SELECT term_key FROM d_vocab)) WHERE r <= 8),
  c AS (SELECT a.file_id, a.seq, ent.e, jaro_winkler_similarity(a.error_found, lower(ent.e)) AS s FROM ask a JOIN ent ON ent.query_key = a.error_found AND lower(ent.e) <> a.error_found
   WHERE jaro_winkler_similarity(a.error_found, lower(ent.e)) > 0.75 AND jaro_winkler_similarity(a.error_found, lower(ent.e)) > jaro_winkler_similarity(a.error_found, a.term))
 SELECT p.file_id, p.seq, round(max(c.s), 6) AS new_sim FROM prop p LEFT JOIN c ON c.file_id = p.file_id AND c.seq = p.seq GROUP BY p.file_id, p.seq""",
@@ -472,7 +472,7 @@ def _(t):
 
     k = t.benchmark.select("item_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("query_key"))
     sn = k.select("query_key", F.row_number().over(Window.partitionBy("query_key").orderBy("item_id")).alias("rank"), F.lit("").alias("title"), F.col("text").alias("body"))
-    return alt.snippet_override(_proposals(t), sn).select("file_id", "seq", F.round("new_sim", 6).alias("new_sim"))
+    return alt.snippet_override(_proposals(t), sn, t.vocab).select("file_id", "seq", F.round("new_sim", 6).alias("new_sim"))
 
 
 @query(
@@ -502,10 +502,17 @@ def _(t):
     return t.pairs.select("file_id", "utt", rc.length_sane("ref", "hyp").alias("sane"), rc.keeps_protected("ref", "hyp", F.array(F.lit("There"))).alias("kept"))
 
 
+def _names_said(t):
+    """Person names of the vocabulary in the files where they are said, with the first place."""
+    names = t.vocab.where("category = 'person_name'").select("term", "term_key")
+    said = t.noisy_words.select("file_id", F.lower(tx.strip_punct("clean_word")).alias("w"), (F.col("segment_id").cast("bigint") * 1_000_000 + F.col("pos")).alias("at"))
+    return said.join(names, F.col("w") == F.col("term_key")).groupBy("file_id", "term").agg(F.min("at").alias("pos"))
+
+
 def _reconciled(t):
     stored(t, "vocab", "noisy_words", "noisy_segments", "detections", "retranscripts", "answers")
     cand = _detected(t).where("category <> 'feature'")
-    protected = t.vocab.where("category = 'person_name'").select("term").withColumn("_k", F.lit(1)).join(t.noisy_segments.select("file_id").distinct().withColumn("_k", F.lit(1)), "_k").drop("_k")
+    protected = _names_said(t).select("file_id", "term")
     lines = ev.quick_hints(ev.screen_lines(t.frames)).select("file_id", "line")
     return rc.reconcile(t.noisy_segments, t.retranscripts, t.answers, t.vocab, cand, protected, lines)
 
@@ -599,9 +606,7 @@ def _run(t):
     from verbascope.plans.correction import CorrectionInputs, CorrectionSettings, correct_corpus
 
     stored(t, "vocab", "noisy_words", "noisy_segments", "detections", "retranscripts", "answers")
-    none = t.vocab.where("category = 'person_name'").agg(F.collect_list("term").alias("ts")).withColumn("_k", F.lit(1))
-    files = t.noisy_segments.select("file_id").distinct().withColumn("_k", F.lit(1))
-    screen = files.join(F.broadcast(none), "_k").select("file_id", F.posexplode("ts").alias("pos", "term"), F.lit("product").alias("type"))
+    screen = _names_said(t).select("file_id", "pos", "term", F.lit("product").alias("type"))
     inputs = CorrectionInputs(
         segments=t.noisy_segments, words=t.noisy_words, vocab=t.vocab, detections=t.detections, answers=t.answers,
         retranscripts=t.retranscripts, frames=t.frames.select("file_id", "ts", "text"), screen_terms=screen,

@@ -103,10 +103,10 @@ def _(t):
 @query(
     "merged_training_set",
     """WITH u AS (SELECT 'soft' AS source, example_key, is_negative, unnest(range(1, 2)) AS copy FROM d_examples WHERE NOT is_hard_negative UNION ALL SELECT 'hard', example_key, is_negative, unnest(range(1, 4)) FROM d_examples WHERE is_hard_negative),
- k AS (SELECT *, source || '/' || example_key || '/' || copy AS key FROM u), p AS (SELECT floor(count(*) FILTER (NOT is_negative) * 0.3 / (1 - 0.3)) AS room FROM k),
- n AS (SELECT *, row_number() OVER (ORDER BY md5('balance42:' || key)) - 1 AS r FROM k WHERE is_negative), b AS (SELECT source, key, is_negative FROM k WHERE NOT is_negative UNION ALL SELECT source, key, is_negative FROM n, p WHERE r < room),
- s AS (SELECT *, row_number() OVER (ORDER BY md5('split42:' || key)) - 1 AS i, count(*) OVER () AS c FROM b)
-SELECT source, is_negative, CASE WHEN i < floor(c * 0.85) THEN 'train' ELSE 'valid' END AS split, count(*) AS n FROM s GROUP BY ALL""",
+ k AS (SELECT *, source || '/' || example_key || '/' || copy AS key, source || '/' || example_key AS example FROM u), p AS (SELECT floor(count(*) FILTER (NOT is_negative) * 0.3 / (1 - 0.3)) AS room FROM k),
+ n AS (SELECT *, row_number() OVER (ORDER BY md5('balance42:' || key)) - 1 AS r FROM k WHERE is_negative), b AS (SELECT source, example, is_negative FROM k WHERE NOT is_negative UNION ALL SELECT source, example, is_negative FROM n, p WHERE r < room),
+ s AS (SELECT example, row_number() OVER (ORDER BY md5('split42:' || example)) - 1 AS i, count(*) OVER () AS c FROM (SELECT DISTINCT example FROM b))
+SELECT source, is_negative, CASE WHEN i < floor(c * 0.85) THEN 'train' ELSE 'valid' END AS split, count(*) AS n FROM b JOIN s USING (example) GROUP BY ALL""",
 )
 def _(t):
     cols = ["example_key", "is_negative"]
@@ -114,6 +114,18 @@ def _(t):
     return m.groupBy("source", "is_negative", "split").agg(F.count("*").alias("n"))
 
 
+@query(
+    "split_leaks",
+    """SELECT CAST(source AS VARCHAR) AS source, 0::BIGINT AS on_both_sides FROM (VALUES ('soft'), ('hard')) AS v(source)""",
+)
+def _(t):
+    """Examples with copies on both sides of the split: there must be none."""
+    cols = ["example_key", "is_negative"]
+    m = tr.merge_sources({"soft": t.examples.where("NOT is_hard_negative").select(*cols), "hard": t.examples.where("is_hard_negative").select(*cols)}, upsampled=("hard",))
+    sides = m.groupBy("source", "example_key").agg(F.count_distinct("split").alias("n"))
+    return sides.groupBy("source").agg(F.count_if(F.col("n") > 1).alias("on_both_sides"))
+
+
 @query("browse_examples", "SELECT example_key, term, category, error_found FROM d_examples ORDER BY example_id, seq LIMIT 20 OFFSET 40")
 def _(t):
     return tr.browse(t.examples, F.struct("example_id", "seq"), page=3).select("example_key", "term", "category", "error_found")

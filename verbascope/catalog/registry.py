@@ -15,20 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-# Tables whose rows are costly to process.
-HEAVY_TEXT = ("documents",)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer splits than there are cores.
-
-    On a large table the scan already has more splits than cores and the frame
-    is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Tables:
     """Driver tables and the domain tables derived from them, read lazily."""
 
@@ -39,8 +25,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         make = derive.DERIVED.get(name)
         df = make(self) if make else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in HEAVY_TEXT:
-            df = spread(df)
         setattr(self, name, df)
         return df
 

@@ -8,7 +8,9 @@ first. All edit-distance kernels are bit-parallel over arbitrary-length integers
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,6 +154,93 @@ def jaro_winkler(a: str, b: str) -> float:
     return score
 
 
+# Words up to this many characters fit one machine word of the batch kernels.
+WORD_BITS = 64
+
+
+def char_rows(words: list[str], width: int, pad: int) -> np.ndarray:
+    """One row of code points per word, padded."""
+    out = np.full((len(words), width), pad, dtype=np.uint32)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
+def _where_equal(rows: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """Bit j of a row's result: its j-th character is the given one."""
+    packed = np.packbits(rows == char[:, None], axis=1, bitorder="little")
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, 8 - packed.shape[1])))).view(np.uint64).ravel()
+
+
+def _low_bits(n: np.ndarray) -> np.ndarray:
+    """The lowest n bits set, n from 0 to 64."""
+    shift = np.minimum(n, WORD_BITS - 1).astype(np.uint64)
+    return np.where(n >= WORD_BITS, ~np.uint64(0), (np.uint64(1) << shift) - np.uint64(1))
+
+
+def _in_words(kernel, scalar, a: list[str], b: list[str]) -> np.ndarray:
+    """Batch kernel where both words fit a machine word, the scalar one elsewhere."""
+    la, lb = (np.array([len(w) for w in x], dtype=np.int64) for x in (a, b))
+    out = np.zeros(len(a))
+    fits = np.flatnonzero((la <= WORD_BITS) & (lb <= WORD_BITS))
+    if len(fits):
+        out[fits] = kernel([a[k] for k in fits], [b[k] for k in fits], la[fits], lb[fits])
+    for k in np.flatnonzero((la > WORD_BITS) | (lb > WORD_BITS)):
+        out[k] = scalar(a[k], b[k])
+    return out
+
+
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``indel_ratio`` of many pairs at once: one step of bit vectors for each character of b."""
+
+    def kernel(a, b, la, lb):
+        rows, cols = char_rows(a, max(1, int(la.max())), 0), char_rows(b, max(1, int(lb.max())), 0xFFFFFFFF)
+        full = _low_bits(la)
+        row = full.copy()
+        for j in range(int(lb.max())):
+            hit = row & _where_equal(rows, cols[:, j])
+            row = ((row + hit) | (row - hit)) & full
+        total = la + lb
+        return np.where(total == 0, 100.0, 200.0 * (la - np.bitwise_count(row)) / np.maximum(total, 1))
+
+    return _in_words(kernel, indel_ratio, a, b)
+
+
+def jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
+    """``jaro_winkler`` of many pairs at once, with the same order of operations."""
+
+    def kernel(a, b, la, lb):
+        n = np.arange(len(a))
+        rows, cols = char_rows(a, max(1, int(la.max())), 0), char_rows(b, max(1, int(lb.max())), 0xFFFFFFFF)
+        reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+        used, m = np.zeros(len(a), dtype=np.uint64), np.zeros(len(a), dtype=np.int64)
+        mine, theirs = np.zeros_like(rows), np.zeros_like(rows)
+        for i in range(int(la.max())):
+            window = _low_bits(np.minimum(lb, i + reach + 1)) & ~_low_bits(np.maximum(i - reach, 0))
+            free = _where_equal(cols, rows[:, i]) & window & ~used
+            free[i >= la] = 0
+            low = free & (~free + np.uint64(1))
+            hit = low != 0
+            used |= low
+            mine[n[hit], m[hit]] = rows[hit, i]
+            m += hit
+        at = np.zeros(len(a), dtype=np.int64)
+        for j in range(int(lb.max())):
+            hit = (used >> np.uint64(j)) & np.uint64(1) != 0
+            theirs[n[hit], at[hit]] = cols[hit, j]
+            at += hit
+        swaps = (mine != theirs).sum(axis=1) // 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3.0, 0.0)
+        width = min(rows.shape[1], cols.shape[1], 4)
+        prefix = np.cumprod(rows[:, :width] == cols[:, :width], axis=1).sum(axis=1)
+        score = np.where(score > 0.7, score + prefix * 0.1 * (1.0 - score), score)
+        return np.where([x == y and x != "" for x, y in zip(a, b)], 1.0, score)
+
+    return _in_words(kernel, jaro_winkler, a, b)
+
+
 # --------------------------------------------------------------------------
 # Metaphone (Philips 1990)
 # --------------------------------------------------------------------------
@@ -277,13 +366,12 @@ def metaphone(word: str) -> str:
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(indel_ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    # Ten digits, so that equal similarities compare as equal.
-    return pd.Series([round(jaro_winkler(x, y), 10) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(jaro_winklers(a.tolist(), b.tolist()), dtype="float64")
 
 
 @F.pandas_udf(T.StringType())
@@ -363,68 +451,69 @@ def plausibility(error: Column, term: Column, error_code: Column | None = None,
 
 
 # --------------------------------------------------------------------------
-# blocking for fuzzy word joins
+# fuzzy word joins
 # --------------------------------------------------------------------------
 
-# Any fixed total order of characters keeps the filter exact; rare first keeps
-# the posting lists short. Characters not listed count as rarest.
-_RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate"
+# Words of either side that one task of a fuzzy join holds, and pairs it scores at once.
+BLOCK_WORDS = 4096
+PAIRS_AT_ONCE = 200_000
+# Classes of characters of the overlap bound.
+CLASSES = 64
 
 
-_LETTER_BITS = 2 * len(_RARE_FIRST)
+def _char_counts(words: list[str]) -> np.ndarray:
+    """How often each class of characters occurs in each word."""
+    sizes = [len(w) for w in words]
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    key = np.repeat(np.arange(len(words)), sizes) * CLASSES + flat % CLASSES
+    return np.minimum(np.bincount(key, minlength=len(words) * CLASSES), 255).reshape(-1, CLASSES).astype(np.uint8)
 
 
-def char_bits(word: Column) -> Column:
-    """One bit number per character occurrence, rare characters first.
+def scored_pairs(left: list[str], right: list[str], enough, score, accept) -> tuple[list[str], list[str], np.ndarray]:
+    """Accepted pairs of two word lists with their score.
 
-    The first two occurrences of each listed letter have their own bit; anything
-    else is folded into the bits above. Equal occurrences always get equal bits.
+    ``enough(common, la, lb)`` tests an upper bound of the shared characters (classes
+    hold more than one character, so it can only be too high; words above 255
+    characters are always scored). Only what passes reaches the kernel.
     """
-
-    def number(cs: Column) -> Column:
-        def bit(c: Column, i: Column) -> Column:
-            place = F.position(c, F.lit(_RARE_FIRST))
-            occ = F.size(F.filter(F.slice(cs, 1, i + 1), lambda x: x == c))
-            other = F.lit(_LETTER_BITS) + F.pmod(F.hash(c, occ), F.lit(62 - _LETTER_BITS))
-            return F.when((place > 0) & (occ <= 2), (place - 1) * 2 + occ - 1).otherwise(other)
-
-        return F.array_sort(F.transform(cs, bit))
-
-    return let(chars(word), number)
-
-
-def _mask(bits: Column) -> Column:
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b)))
-
-
-def char_blocked_pairs(left: DataFrame, a: str, right: DataFrame, b: str, keys: list[str], min_share: float, enough) -> DataFrame:
-    """Pairs of words that may share enough characters: ``keys, a, b``.
-
-    Prefix filter (Chaudhuri et al. 2006; Bayardo et al. 2007): if two words share
-    at least ``min_share`` of either one's characters as multisets, they share one
-    of each one's rarest characters, so an equi-join on those loses no pair. A
-    pair is kept at its lowest common key only. ``enough(common, la, lb)`` gets an
-    upper bound of the overlap from bit masks: folded bits can only raise it.
-    Both inputs hold distinct words.
+    counts, size = _char_counts(right), np.array([len(w) for w in right], dtype=np.int64)
+    out: tuple[list, list, list] = ([], [], [])
+    step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+    for k in range(0, len(left), step):
+        some = left[k : k + step]
+        own, la = _char_counts(some), np.array([len(w) for w in some], dtype=np.int64)
+        common = np.zeros((len(some), len(right)), dtype=np.int64)
+        for c in np.flatnonzero(own.any(axis=0) & counts.any(axis=0)):
+            common += np.minimum(own[:, c, None], counts[None, :, c])
+        long = np.maximum(la[:, None], size[None, :]) > 255
+        i, j = np.nonzero(enough(common, la[:, None], size[None, :]) | long)
+        a, b = [some[x] for x in i], [right[x] for x in j]
+        values = score(a, b)
+        for x in np.flatnonzero(accept(values)):
+            out[0].append(a[x])
+            out[1].append(b[x])
+            out[2].append(values[x])
+    return out[0], out[1], np.array(out[2], dtype=np.float64)
+
+
+def fuzzy_word_join(left: DataFrame, a: str, right: DataFrame, b: str, enough, score, accept, out: str) -> DataFrame:
+    """``a, b, out``: accepted pairs of two sets of distinct words.
+
+    Both sides are dealt to blocks of bounded size by a hash of the word; every block
+    of one side meets every block of the other in one task, which holds just these
+    two and returns accepted pairs alone. NULL words pair with nothing.
     """
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-    def keyed(df: DataFrame, c: str, tag: str) -> DataFrame:
-        full = df.withColumn("_bits", char_bits(F.col(c)))
-        n = F.size("_bits")
-        keep = F.least(n - F.ceil(n * min_share).cast("int") + 1, n)
-        sig = full.withColumn("_sig", F.array_distinct(F.slice("_bits", 1, keep)))
-        mask = sig.withColumn(f"_m{tag}", _mask(F.col("_bits"))).withColumn(f"_s{tag}", _mask(F.col("_sig")))
-        sized = mask.withColumn(f"_n{tag}", n).withColumn(f"_f{tag}", n - F.bit_count(f"_m{tag}"))
-        return sized.withColumn("_k", F.explode_outer("_sig")).drop("_bits", "_sig")
-
-    # The outer explode keeps the optimiser from inferring (and pushing down) a
-    # size filter that would evaluate the bit arrays a second time.
-    # An explicit partition count keeps the heavy join spread although the word
-    # lists are small in bytes.
-    met = keyed(left.repartition(parts, *keys, a), a, "l").join(keyed(right, b, "r"), [*keys, "_k"])
-    below = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_k")) - 1
-    first = F.col("_sl").bitwiseAND(F.col("_sr")).bitwiseAND(below) == 0
-    common = F.bit_count(F.col("_ml").bitwiseAND(F.col("_mr"))) + F.least("_fl", "_fr")
-    return met.where(first & enough(common, F.col("_nl"), F.col("_nr"))).select(*keys, a, b)
+    sides = []
+    for df, c in ((left, a), (right, b)):
+        sides.append((df.where(F.col(c).isNotNull()).select(F.col(c).alias("w")), c))
+    n = [max(1, -(-df.count() // BLOCK_WORDS)) for df, _ in sides]
+    deal = lambda m: F.pmod(F.xxhash64("w"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    one = sides[0][0].select("w", deal(n[0]).alias("i"), every(n[1]).alias("j"))
+    two = sides[1][0].select("w", every(n[0]).alias("i"), deal(n[1]).alias("j"))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = scored_pairs(x.column("w").to_pylist(), y.column("w").to_pylist(), enough, score, accept) if x.num_rows and y.num_rows else ([], [], [])
+        return pa.table({c: pa.array(v, t) for c, v, t in zip((a, b, out), found, (pa.string(), pa.string(), pa.float64()))})
+
+    return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInArrow(run, f"`{a}` string, `{b}` string, `{out}` double")

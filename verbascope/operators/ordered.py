@@ -15,6 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _group(keys: Sequence[str]) -> Column:
+    """One value for a group's keys. A struct of NULLs is a value and equals itself, so
+    rows with NULL keys form a group here as in a window, and joins keep them."""
+    return F.struct(*keys) if keys else F.lit(0)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -26,21 +32,19 @@ def running(
     inclusive: bool = False,
 ) -> DataFrame:
     """Running ``sum`` or ``max`` of ``value`` over the rows before the current
-    one (and the current one when ``inclusive``), NULL where there is none."""
+    one (and the current one when ``inclusive``), NULL where there is none.
+
+    Rows of NULL keys are a group, a NULL order value comes first: no row is lost."""
     agg = {"sum": F.sum, "max": F.max}[how]
-    keys = list(keys)
-    base = df.withColumn("_chunk", chunk).withColumn("_v", value)
+    group, part = _group(keys), F.struct(*keys, chunk.alias("_chunk"))
+    base = df.withColumn("_part", part).withColumn("_v", value)
     end = Window.currentRow if inclusive else -1
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = base.withColumn("_in", agg("_v").over(inner))
-    by_chunk = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    carry = (
-        base.groupBy(*keys, "_chunk")
-        .agg(agg("_v").alias("_t"))
-        .withColumn("_carry", agg("_t").over(by_chunk.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
-        .drop("_t")
-    )
-    both = local.join(carry, [*keys, "_chunk"])
+    before = Window.partitionBy(group).orderBy("_part._chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = base.groupBy(*keys, "_part").agg(agg("_v").alias("_t"))
+    carry = totals.select(F.col("_part").alias("_of"), agg("_t").over(before).alias("_carry"))
+    both = local.join(carry, F.col("_part") == F.col("_of"))
     if how == "sum":
         total = F.when(
             F.col("_in").isNotNull() | F.col("_carry").isNotNull(),
@@ -48,7 +52,7 @@ def running(
         )
     else:
         total = F.greatest("_in", "_carry")
-    return both.withColumn(out, total).drop("_chunk", "_v", "_in", "_carry")
+    return both.withColumn(out, total).drop("_part", "_of", "_v", "_in", "_carry")
 
 
 def hash_rank(df: DataFrame, key: Column, salt: str, out: str = "rank", keys: Sequence[str] = ()) -> DataFrame:

@@ -49,10 +49,11 @@ def drop_repeats(rows: DataFrame, keys: tuple[str, ...], order: str, value: str,
     chunks is enough; each chunk learns the last value of the chunk before.
     """
     keys = list(keys)
-    base = rows.withColumn("_chunk", F.floor(F.col(order) / chunk_s))
-    lagged = base.withColumn("_prev", F.lag(F.struct(value)).over(Window.partitionBy(*keys, "_chunk").orderBy(order)))
-    ends = base.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(value), F.col(order)).alias("_last"))
-    ends = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))).drop("_last")
-    both = lagged.join(ends, [*keys, "_chunk"])
+    base = rows.withColumn("_part", F.struct(*keys, F.floor(F.col(order) / chunk_s).alias("_chunk")))
+    lagged = base.withColumn("_prev", F.lag(F.struct(value)).over(Window.partitionBy("_part").orderBy(order)))
+    ends = base.groupBy(*keys, "_part").agg(F.max_by(F.struct(value), F.struct(order)).alias("_last"))
+    before = Window.partitionBy(F.struct(*keys) if keys else F.lit(0)).orderBy("_part._chunk")
+    ends = ends.select(F.col("_part").alias("_of"), F.lag("_last").over(before).alias("_carry"))
+    both = lagged.join(ends, F.col("_part") == F.col("_of"))
     prev = F.coalesce("_prev", "_carry")
-    return both.where(prev.isNull() | ~prev[value].eqNullSafe(F.col(value))).drop("_chunk", "_prev", "_carry")
+    return both.where(prev.isNull() | ~prev[value].eqNullSafe(F.col(value))).drop("_part", "_of", "_prev", "_carry")

@@ -19,7 +19,7 @@ from verbascope.functions.text import (
 from verbascope.operators.alignment import align, diff_rows
 from verbascope.operators.ordered import hash_rank, running
 from verbascope.operators.terms import corpus_zipf
-from verbascope.operators.vocabulary import bounded_broadcast, fuzzy_pairs
+from verbascope.operators.vocabulary import fuzzy_pairs
 
 SYSTEM_TEXT = "You correct speech transcripts: find misheard key terms with the given evidence and return the corrected text."
 MARKER = "ASR transcript: "
@@ -252,8 +252,8 @@ def balance_negatives(examples: DataFrame, key: Column, max_ratio: float = 0.3,
 def split_train_valid(examples: DataFrame, key: Column, ratio: float = 0.85, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
     """Add ``split``: the first ⌊ratio·n⌋ in hash order are ``train``.
 
-    Copies of one example carry one key and fall on one side when ``key`` is the
-    example's key; with ``by`` the split is stratified.
+    Rows of equal key fall on one side except at the cut itself; split distinct
+    examples where copies must stay together. With ``by`` the split is stratified.
     """
     by = list(by)
     ranked = hash_rank(examples, key, f"split{seed}", "_rank", by)
@@ -272,8 +272,12 @@ def merge_sources(sources: dict[str, DataFrame], upsampled: tuple[str, ...] = ()
         times = factor if name in upsampled else 1
         parts.append(upsample(df.withColumn("source", F.lit(name)), F.lit(times)))
     both = reduce(lambda a, b: a.unionByName(b), parts)
-    key = F.concat_ws("/", "source", "example_key", F.col("copy").cast("string"))
-    return split_train_valid(balance_negatives(both, key, max_ratio, seed), key, seed=seed)
+    example = F.concat_ws("/", "source", "example_key")
+    balanced = balance_negatives(both, F.concat_ws("/", example, F.col("copy").cast("string")), max_ratio, seed)
+    # Examples are split, not rows: the copies of one follow it to its side.
+    sides = split_train_valid(balanced.select("source", "example_key").distinct(), example, seed=seed)
+    same = [balanced[c].eqNullSafe(sides[c]) for c in ("source", "example_key")]
+    return balanced.join(sides, same).select(balanced["*"], sides["split"])
 
 
 # --------------------------------------------------------------------------

@@ -8,23 +8,6 @@ from pyspark.sql import functions as F
 from verbascope.functions import similarity as sim
 from verbascope.functions.text import strip_ws, term_variants
 
-# A side is broadcast only below this many rows, checked by a bounded probe.
-BROADCAST_ROWS = 50_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a dimension for broadcast when its plan proves a bound, else leave it.
-
-    The proof is the optimiser's own: a LIMIT in the plan gives ``maxRows``
-    without running anything. Without a proven bound the frame is returned as it
-    is, and adaptive execution decides from the measured size at run time.
-    """
-    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
-    if bound.isDefined() and int(str(bound.get())) <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def merge_vocabularies(domain: DataFrame, custom: DataFrame | None = None) -> DataFrame:
     """One row per lower-cased term.
 
@@ -80,23 +63,21 @@ def error_lookup(vocab: DataFrame) -> DataFrame:
 
 def known_error_hits(words: DataFrame, vocab: DataFrame, word_key: str = "word_key") -> DataFrame:
     """Words that are a listed mis-hearing of a term."""
-    return words.join(bounded_broadcast(error_lookup(vocab)), F.col(word_key) == F.col("error_key")).drop("error_key")
+    return words.join(error_lookup(vocab), F.col(word_key) == F.col("error_key")).drop("error_key")
 
 
 def fuzzy_pairs(words: DataFrame, terms: DataFrame, min_ratio: float = 60.0) -> DataFrame:
     """Distinct (word, term) pairs with an indel ratio of at least ``min_ratio``.
 
-    ``words(word)`` and ``terms(term_key)`` hold distinct lower-case values. A
-    pair at ratio r shares at least r/(200-r) of either word's characters, which
-    turns the comparison into an exact equi-join on character keys; the kernel
-    then runs once per surviving distinct pair.
+    ``words(word)`` and ``terms(term_key)`` hold distinct lower-case values. A pair
+    at that ratio shares at least ``min_ratio``/200 of its characters; blocks of words
+    meet blocks of terms, and pairs within the bound are scored together.
     """
-    share = min_ratio / (200.0 - min_ratio) - 1e-9
     need = min_ratio / 200.0 - 1e-9
-    enough = lambda common, la, lb: common >= (la + lb) * need
-    cand = sim.char_blocked_pairs(words.select("word"), "word", terms.select("term_key"), "term_key", [], share, enough)
-    scored = cand.where(F.col("word") != F.col("term_key")).withColumn("ratio", sim.indel_ratio_udf("word", "term_key"))
-    return scored.where(F.col("ratio") >= min_ratio)
+    enough = lambda common, la, lb: common >= (la + lb) * need
+    accept = lambda ratio: ratio >= min_ratio
+    met = sim.fuzzy_word_join(words, "word", terms, "term_key", enough, sim.indel_ratios, accept, "ratio")
+    return met.where(F.col("word") != F.col("term_key"))
 
 
 def near_miss_terms(words: DataFrame, vocab: DataFrame, top: int = 3, min_ratio: float = 60.0, use_phonetic: bool = True) -> DataFrame:
