@@ -100,6 +100,15 @@ def test_limit_is_not_rounded():
     assert sim.jaro_winkler("erbleanatingble", "ention") > 0.75
 
 
+def test_edit_script_is_the_same_at_any_length(monkeypatch):
+    rnd = random.Random(8)
+    pairs = [([rnd.choice("abc") for _ in range(rnd.randint(0, 40))], [rnd.choice("abc") for _ in range(rnd.randint(0, 40))]) for _ in range(500)]
+    whole = [al.edit_script(a, b) for a, b in pairs]
+    for bits in (0, 40, 700):
+        monkeypatch.setattr(al, "TRACE_BITS", bits)
+        assert [al.edit_script(a, b) for a, b in pairs] == whole
+
+
 def test_word_blocks_meet_once(spark, monkeypatch):
     monkeypatch.setattr(sim, "BLOCK_WORDS", 7)
     left, right = [f"word{k}" for k in range(30)] + [None], [f"ward{k}" for k in range(20)]

@@ -2,16 +2,16 @@
 
 The kernel runs inside Arrow batches, one pair per row, so the work is spread
 like the pairs are. It keeps bit vectors per hypothesis word (Myers 1999 /
-Hyyrö 2003) and walks back through them; pairs whose vectors would be too large
-are first cut in two at an optimal split point (Hirschberg 1975), so memory is
-bounded for texts of any length and no text is shortened.
+Hyyrö 2003) and walks back through them. Where all vectors would take too much
+memory only every so many-th column is kept and the columns between are swept again
+on the way back, so the walk, and with it every tie, is the same at any length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from verbascope.functions.similarity import _masks
 
-# Bits kept for one traceback before the pair is split (32 MiB per vector set).
+# Bits kept for one traceback before columns are left out (32 MiB).
 TRACE_BITS = 1 << 28
 
 EQUAL, SUBSTITUTE, DELETE, INSERT = "equal", "substitute", "delete", "insert"
@@ -31,13 +31,8 @@ FLUSH_ROWS = 100_000
 STEP_NAMES = {"e": EQUAL, "s": SUBSTITUTE, "d": DELETE, "i": INSERT}
 
 
-def _sweep(ref, hyp, keep: bool):
-    """Bit-parallel distance columns; yields the final vectors or all of them."""
-    n = len(ref)
-    full = (1 << n) - 1
-    table = _masks(ref)
-    up, down = full, 0
-    ups, downs = [], []
+def _columns(table: dict, full: int, hyp: list, up: int, down: int) -> Iterator[tuple[int, int]]:
+    """Bit-parallel distance columns: the vertical steps up and down after each word."""
     for item in hyp:
         match = table.get(item, 0)
         diag = ((((match & up) + up) ^ up) | match | down) & full
@@ -47,26 +42,7 @@ def _sweep(ref, hyp, keep: bool):
         right_down = (right_down << 1) & full
         up = (right_down | (full & ~(diag | right_up))) & full
         down = right_up & diag
-        if keep:
-            ups.append(up)
-            downs.append(down)
-    return (ups, downs) if keep else (up, down)
-
-
-def _last_column(ref, hyp) -> np.ndarray:
-    """Distances of every reference prefix to the whole hypothesis."""
-    n = len(ref)
-    up, down = _sweep(ref, hyp, keep=False)
-    width = (n + 7) // 8
-
-    def bits(v: int) -> np.ndarray:
-        raw = np.frombuffer(v.to_bytes(width, "little"), dtype=np.uint8)
-        return np.unpackbits(raw, bitorder="little")[:n].astype(np.int64)
-
-    col = np.empty(n + 1, dtype=np.int64)
-    col[0] = len(hyp)
-    col[1:] = len(hyp) + np.cumsum(bits(up) - bits(down))
-    return col
+        yield up, down
 
 
 def edit_script(ref: list, hyp: list) -> str:
@@ -92,26 +68,32 @@ def _core_script(ref: list, hyp: list) -> str:
         return "i" * len(hyp)
     if not hyp:
         return "d" * len(ref)
-    if 2 * len(ref) * len(hyp) > TRACE_BITS and len(hyp) > 1:
-        mid = len(hyp) // 2
-        left = _last_column(ref, hyp[:mid])
-        right = _last_column(ref[::-1], hyp[mid:][::-1])[::-1]
-        cut = int(np.argmin(left + right))
-        return edit_script(ref[:cut], hyp[:mid]) + edit_script(ref[cut:], hyp[mid:])
-    ups, downs = _sweep(ref, hyp, keep=True)
+    table, full = _masks(ref), (1 << len(ref)) - 1
+    stride = len(hyp) if 2 * len(ref) * len(hyp) <= TRACE_BITS else math.isqrt(len(hyp))
+    # The columns before each block of ``stride``; a block is swept again when the walk enters it.
+    before = [(full, 0)]
+    for k, state in enumerate(_columns(table, full, hyp, full, 0), 1):
+        if k % stride == 0 and k < len(hyp):
+            before.append(state)
     i, j = len(ref), len(hyp)
     steps = []
-    while i and j:
-        if (ups[j - 1] >> (i - 1)) & 1:
-            i -= 1
-            steps.append("d")
-        elif j > 1 and (downs[j - 2] >> (i - 1)) & 1:
-            j -= 1
-            steps.append("i")
-        else:
-            i -= 1
-            j -= 1
-            steps.append("e" if ref[i] == hyp[j] else "s")
+    for block in range(len(before) - 1, -1, -1):
+        first = block * stride
+        held = [before[block], *_columns(table, full, hyp[first:j], *before[block])]
+        while i and j > first:
+            bit = i - 1
+            if (held[j - first][0] >> bit) & 1:
+                i -= 1
+                steps.append("d")
+            elif j > 1 and (held[j - first - 1][1] >> bit) & 1:
+                j -= 1
+                steps.append("i")
+            else:
+                i -= 1
+                j -= 1
+                steps.append("e" if ref[i] == hyp[j] else "s")
+        if not i:
+            break
     steps.append("d" * i + "i" * j)
     return "".join(reversed(steps))
 

@@ -101,9 +101,16 @@ def even_sample(rows: DataFrame, keys: list[str], order: str, chunk: Column, lim
 
 
 def snippet_context(snippets: DataFrame, keys: list[str], max_chars: int = 2500, at_sentence: bool = True) -> DataFrame:
-    """Search-result bodies joined in rank order and cut."""
+    """Search-result bodies joined in rank order and cut.
+
+    Only bodies that begin within the cut are collected, so a group's row stays as
+    short as the result however many bodies the group has.
+    """
+    bodies = snippets.where("body <> ''").withColumn("_len", (F.length("body") + 1).cast("bigint"))
+    placed = running(bodies, keys, F.floor(F.col("rank") / 1024), ["rank", "body"], F.col("_len"), "_at")
+    near = placed.where(F.coalesce("_at", F.lit(0)) <= max_chars + 1)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "body")))
-    text = snippets.where("body <> ''").groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["body"]), " ").alias("t"))
+    text = near.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["body"]), " ").alias("t"))
     cut = truncate_at_sentence("t", max_chars) if at_sentence else F.substring("t", 1, max_chars)
     return text.select(*keys, cut.alias("context"))
 

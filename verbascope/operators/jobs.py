@@ -160,9 +160,9 @@ def job_detail(jobs: DataFrame, steps: DataFrame, job_id: str) -> DataFrame:
 
 
 def latest_correction(corrections: DataFrame) -> DataFrame:
-    """Newest stored correction of every file (map-side combined)."""
+    """Newest stored correction of every file (map-side combined); equal times go by job, then by hash."""
     rest = [c for c in corrections.columns if c != "file_id"]
-    return corrections.groupBy("file_id").agg(F.max_by(F.struct(*rest), F.struct("created_at", "job_id") if "job_id" in rest else F.col("created_at")).alias("x")).select("file_id", "x.*")
+    return corrections.groupBy("file_id").agg(F.max_by(F.struct(*rest), F.struct("created_at", *(["job_id"] if "job_id" in rest else []), F.xxhash64(*rest))).alias("x")).select("file_id", "x.*")
 
 
 def correction_report(swaps: DataFrame, attempted: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def applied_stats(corrections: DataFrame) -> DataFrame:
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str = "file_id") -> DataFrame:
-    """Keyed upsert: the row with the newest ``created_at`` per key."""
+    """Keyed upsert: the row with the newest ``created_at`` per key, of equal ones that of the larger hash."""
     both = old.unionByName(new)
     rest = [c for c in both.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), "created_at").alias("x")).select(key, "x.*")
+    return both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("created_at", F.xxhash64(*rest))).alias("x")).select(key, "x.*")
