@@ -183,7 +183,12 @@ def _(t):
     return t.spark.read.schema(counts.schema).parquet(out).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("stream_activity_ranges")
+@query(
+    "stream_activity_ranges",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS o FROM events),
+ s AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+)
 def _(t):
     out, chk = _places(t, "ranges")
     s = _event_stream(t).withColumn("at", F.col("ts").cast("timestamp"))
@@ -203,7 +208,11 @@ def _(t):
     return t.spark.read.schema("event_id bigint, event_type string").json(out)
 
 
-@query("stream_pending_transcripts")
+@query(
+    "stream_pending_transcripts",
+    """WITH mark AS (SELECT least(max(ts) - INTERVAL 1 HOUR, max(ts) FILTER (WHERE event_type = 'click') - INTERVAL 55 MINUTES) AS at FROM events WHERE event_type IN ('click', 'signup'))
+SELECT event_type = 'click' AS done, count(*) AS n FROM events, mark WHERE event_type = 'click' OR event_type = 'signup' AND ts + INTERVAL 1 HOUR < mark.at GROUP BY 1""",
+)
 def _(t):
     out, chk = _places(t, "pending")
     s = _event_stream(t).withColumn("at", F.col("ts").cast("timestamp"))

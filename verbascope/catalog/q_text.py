@@ -124,14 +124,30 @@ def _(t):
     return t.words.select(tx.strip_punct("word").alias("w")).where("w IS NOT NULL").groupBy("w").agg(F.count("*").alias("n"))
 
 
-@query("sentence_chunks")
+def chunk_sql(size: int, overlap: int, look_back: int) -> str:
+    """Chunks one after the other: each begins where the one before was cut."""
+
+    def end(start: str) -> str:
+        low = f"greatest({start} + {size - look_back}, {start} + 1)"
+        part = f"substr(text, {low} + 1, {start} + {size} - {low})"
+        marks = (("'. '", "' .'"), ("'? '", "' ?'"), ("'! '", "' !'"), ("chr(10)", "chr(10)"))
+        ends = ", ".join(f"CASE WHEN contains({part}, {m}) THEN {low} + length({part}) - position({r} IN reverse({part})) + 1 END" for m, r in marks)
+        return f"CASE WHEN length(text) - {start} <= {size} THEN length(text) ELSE COALESCE({ends}, {start} + {size}) END"
+
+    return f"""WITH RECURSIVE c AS (
+ SELECT doc_id, text, 0::BIGINT AS chunk_no, 0::BIGINT AS a, ({end("0")})::BIGINT AS z FROM documents
+ UNION ALL SELECT doc_id, text, chunk_no + 1, n, ({end("n")})::BIGINT FROM (SELECT *, greatest(z - {overlap}, a + 1) AS n FROM c WHERE length(text) - a > {size}))
+SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(a AS INT) AS start, CAST(z AS INT) AS "end", md5(substr(text, a + 1, z - a)) AS md5 FROM c"""
+
+
+@query("sentence_chunks", chunk_sql(5000, 200, 500))
 def _(t):
     return src.sentence_chunks(t.documents.select("doc_id", "text"), ["doc_id"], "text").select(
         "doc_id", "chunk_no", "start", "end", F.md5("text").alias("md5")
     )
 
 
-@query("sentence_chunks_no_overlap")
+@query("sentence_chunks_no_overlap", chunk_sql(2000, 0, 300))
 def _(t):
     return src.sentence_chunks(t.documents.select("doc_id", "text"), ["doc_id"], "text", 2000, 0, 300).select(
         "doc_id", "chunk_no", "start", "end", F.md5("text").alias("md5")
