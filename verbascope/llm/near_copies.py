@@ -31,6 +31,7 @@ RECALL = 1 - 1e-6
 ROWS = 4
 TILE_TEXTS = 256
 RUN_CHARS = 250_000
+BATCH_BYTES = 8_000_000
 
 
 def band_count(similar: float = SIMILAR, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -269,20 +270,29 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, rows: int = ROWS, rec
 
     def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sets of the wanted texts, a row for each of their tiles."""
+        kinds = {"tile": pa.int64(), "h": pa.int64(), "side": pa.int8(), "set": pa.binary(), "copies": pa.int64(), "bands": pa.list_(pa.int64()), "shingles": pa.binary()}
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds.values())], list(kinds))
+
+        out, size = [], 0
         for batch in batches:
             wants = batch.column("wants").to_pylist()
-            texts_ = batch.column("text").to_pylist()
-            for start, some in text_runs([t or "" for t in texts_], RUN_CHARS):
+            for start, some in text_runs([t or "" for t in batch.column("text").to_pylist()], RUN_CHARS):
                 who, first, h, p, b, n = signatures(some, bands, rows)
-                out = []
                 for k, t in enumerate(who.tolist()):
                     want, name = wants[start + t], p[k].tobytes()
-                    if want["set"] == name:
-                        data = h[first[k] : first[k] + n[k]].tobytes()
-                        out += [(x["tile"], x["h"], x["side"], name, want["copies"], b[k].view(np.int64), data) for x in want["tiles"]]
-                if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int8(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["tile", "h", "side", "set", "copies", "bands", "shingles"])
+                    if want["set"] != name:
+                        continue
+                    data, marks = h[first[k] : first[k] + n[k]].tobytes(), b[k].view(np.int64)
+                    for x in want["tiles"]:
+                        out.append((x["tile"], x["h"], x["side"], name, want["copies"], marks, data))
+                        size += len(data)
+                        if size > BATCH_BYTES:  # a text of a large bucket goes to many tiles
+                            yield flush()
+                            out, size = [], 0
+        if out:
+            yield flush()
 
     heads = wanted.select(F.col("head"), F.struct("set", "copies", "tiles").alias("wants"))
     held = plain.join(heads, F.col("id").eqNullSafe(F.col("head"))).select("text", "wants").mapInArrow(load, "tile long, h long, side byte, set binary, copies long, bands array<long>, shingles binary")
