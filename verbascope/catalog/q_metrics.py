@@ -8,6 +8,7 @@ from verbascope.catalog.q_text import nmet, nws, nwer, ws
 from verbascope.catalog.registry import query
 from verbascope.functions import similarity as sim, text as tx
 from verbascope.operators import metrics as me
+from verbascope.operators.ordered import running
 
 KEYS = ["file_id", "utt"]
 ENC = "array_to_string(list_transform({0}, lambda x: chr(CAST(list_position({1}, x) AS INT))), '')".format
@@ -246,21 +247,20 @@ def _(t):
 
 @query(
     "worst_files",
-    "SELECT file_id, dataset, accent, baseline_wer FROM d_file_rates ORDER BY baseline_wer DESC NULLS LAST, file_id LIMIT 20",
+    "SELECT file_id, dataset, accent, baseline_wer FROM d_file_rates ORDER BY baseline_wer DESC NULLS LAST, file_id",
 )
 def _(t):
-    return file_rates(t).orderBy(F.desc_nulls_last("baseline_wer"), "file_id").limit(20).select("file_id", "dataset", "accent", "baseline_wer")
+    return file_rates(t).orderBy(F.desc_nulls_last("baseline_wer"), "file_id").select("file_id", "dataset", "accent", "baseline_wer")
 
 
 @query(
     "files_sorted_by_improvement",
-    f"SELECT file_id, CAST(row_number() OVER (ORDER BY coalesce(wer_improvement, 0) DESC, file_id) AS BIGINT) AS place FROM ({IMPROVED_SQL}) ORDER BY place LIMIT 50",
+    f"SELECT file_id, CAST(row_number() OVER (ORDER BY coalesce(wer_improvement, 0) DESC, file_id) AS BIGINT) AS place FROM ({IMPROVED_SQL})",
 )
 def _(t):
-    from pyspark.sql import Window
-
-    top = file_rates(t).withColumn("v", F.coalesce("wer_improvement", F.lit(0.0))).orderBy(F.desc("v"), "file_id").limit(50)
-    return top.select("file_id", F.row_number().over(Window.orderBy(F.desc("v"), "file_id")).cast("bigint").alias("place"))
+    v = file_rates(t).select("file_id", F.coalesce("wer_improvement", F.lit(0.0)).alias("v"))
+    placed = running(v, [], F.floor(-F.col("v")), [F.desc("v"), F.col("file_id")], F.lit(1).cast("bigint"), "place", inclusive=True)
+    return placed.select("file_id", "place")
 
 
 @query(

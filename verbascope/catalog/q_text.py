@@ -427,7 +427,7 @@ def _(t):
 
 def _array_answers(t):
     """A term-array answer per document: plain, fenced, unclosed or broken at the end."""
-    w = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), 1, 4)
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     objs = F.transform(w, lambda x: F.concat(F.lit('{"term":"'), x, F.lit('","category":"tech_term"}')))
     body = F.concat(F.lit("["), F.array_join(objs, ","))
     k = F.col("doc_id") % 4
@@ -440,12 +440,12 @@ def _array_answers(t):
     return t.documents.where(F.size(w) > 0).select(F.col("doc_id").alias("file_id"), raw.alias("raw"))
 
 
-FOUR_SQL = r"SELECT doc_id AS file_id, regexp_extract_all(text, '[A-Za-z]{3,}')[1:4] AS ws FROM documents"
+TERMS_SQL = r"SELECT doc_id AS file_id, regexp_extract_all(text, '[A-Za-z]{3,}') AS ws FROM documents"
 
 
 @query(
     "term_array_answers",
-    f"SELECT file_id, CAST(len(ws) AS INT) AS n, array_to_string(ws, ' ') AS terms FROM ({FOUR_SQL}) WHERE len(ws) > 0",
+    f"SELECT file_id, CAST(len(ws) AS INT) AS n, array_to_string(ws, ' ') AS terms FROM ({TERMS_SQL}) WHERE len(ws) > 0",
 )
 def _(t):
     p = _array_answers(t).select("file_id", answers.term_array("raw").alias("a"))
@@ -456,10 +456,10 @@ def _(t):
     "correction_answers",
     r"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '' ELSE w END AS corrected, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS n_changes,
   CASE WHEN doc_id % 3 = 0 THEN 0.7 ELSE 0.0 END::DOUBLE AS confidence, doc_id % 3 = 0 AS need_lip
-FROM (SELECT doc_id, regexp_extract(text, '[a-z]+') AS w FROM documents)""",
+FROM (SELECT doc_id, array_to_string(regexp_extract_all(text, '[a-z]+'), ' ') AS w FROM documents)""",
 )
 def _(t):
-    w = F.regexp_extract("text", "[a-z]+", 0)
+    w = F.array_join(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)), " ")
     raw = (
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('Sure: {"corrected":"'), w, F.lit('","changes":["a"],"confidence":0.7,"need_lip":true} ok')))
         .when(F.col("doc_id") % 3 == 1, F.concat(F.lit('{"corrected":"'), w, F.lit('"}')))
@@ -486,18 +486,18 @@ def _(t):
     return a.select("doc_id", "a.field", "a.topic", "a.description", F.size("a.suggested_vocab").alias("n_vocab"))
 
 
-PROPOSED_SQL = r"""SELECT doc_id % 50 AS file_id, CAST(doc_id * 10 + i AS BIGINT) AS pos, ws[i] AS term, ['', 'tech_term', 'bogus', 'person_name'][1 + CAST((doc_id + i) % 4 AS INT)] AS category,
+PROPOSED_SQL = r"""SELECT doc_id % 50 AS file_id, CAST(doc_id * 1000000 + i AS BIGINT) AS pos, ws[i] AS term, ['', 'tech_term', 'bogus', 'person_name'][1 + CAST((doc_id + i) % 4 AS INT)] AS category,
   ['person', 'product', 'place', 'TOOL'][1 + CAST((doc_id + i) % 4 AS INT)] AS type
-FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1:6] AS ws FROM documents))"""
+FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents))"""
 
 
 def _proposed(t):
-    ws = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6)
+    ws = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     d = t.documents.select("doc_id", F.posexplode(ws).alias("p", "term")).withColumn("i", F.col("p") + 1)
     k = (F.col("doc_id") + F.col("i")) % 4
     pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k + 1).cast("int"))
     return d.select(
-        (F.col("doc_id") % 50).alias("file_id"), (F.col("doc_id") * 10 + F.col("i")).alias("pos"), "term",
+        (F.col("doc_id") % 50).alias("file_id"), (F.col("doc_id") * 1_000_000 + F.col("i")).alias("pos"), "term",
         pick("", "tech_term", "bogus", "person_name").alias("category"), pick("person", "product", "place", "TOOL").alias("type"),
     )
 
