@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbascope.llm.common import need
-from verbascope.session import scratch_dir
+from verbascope.session import materialise, scratch_dir
 
 STRIPPED = " \t\n\x0b\x0c\r"
 
@@ -130,7 +130,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         part = docs.where(F.pmod(F.xxhash64(id_col), F.lit(batches)) == k)
         runs.add(document_lines(part, min_chars, id_col, text_col))
     lines = document_lines(docs, min_chars, id_col, text_col)
-    gone = lines.join(runs.shared(min_docs), "line").where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_set("line").alias("_gone"))
+    # As a table of its own the shared lines let a join split the partition of a very common one.
+    shared = materialise(runs.shared(min_docs), "shared-lines")
+    gone = lines.join(shared, "line").where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_set("line").alias("_gone"))
     columns = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     d, g = docs.alias("d"), gone.alias("g")
     both = d.join(g, F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")), "left")
