@@ -17,6 +17,7 @@ executors and any file system Spark can write to:
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,12 +28,19 @@ from pyspark.sql import functions as F
 from verbascope.llm.common import need, pieces, text_runs, worker_cache
 
 CHUNK_IDS = 65_536
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 700_000
 # White space other than the space and the line feed.
 ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 ODD_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def byte_spelling() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable Latin-1 as it is, the rest from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class CachedEncoder:
     """Ids of whole texts, little-endian unsigned 32-bit, by a byte-level tokenizer.
 
@@ -45,17 +53,35 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.spelling = byte_spelling()
+        self.space = self.spelling[32]
+        self.marks = {"": b""} | {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in ".,"}
         self.unit: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
 
-    def _fill(self, known: dict[str, bytes], words: set[str], text_of) -> dict[str, bytes]:
-        fresh = list(words - known.keys())
-        if len(known) + len(fresh) > CACHE_ENTRIES:
-            known, fresh = {}, list(words)
+    def _words(self, fresh: list[str]) -> dict[str, bytes]:
+        """Ids of plain words that follow a space: letters below U+0250, then a comma or full stop at most.
+
+        The tokenizer's pattern makes the letters with their space one pre-token and the
+        mark another, so the library's merges can be asked for directly, once a word.
+        """
+        out, merges = {}, self.tokenizer.model.tokenize
+        for w in fresh:
+            base, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") else (w, "")
+            if base.isalpha() and (base.isascii() or max(base) < "\u0250"):
+                ids = self.after_space.get(base) or out.get(base)
+                if ids is None:
+                    spelled = self.space + (base if base.isascii() else base.encode().decode("latin-1").translate(self.spelling))
+                    ids = out[base] = array("I", [t.id for t in merges(spelled)]).tobytes()
+                out[w] = ids + self.marks[mark]
+        return out
+
+    def _fill(self, known: dict[str, bytes], fresh: set[str], text_of) -> None:
+        """Add what is not known yet."""
+        fresh = list(fresh)
         if fresh:
             found = self.tokenizer.encode_batch_fast([text_of(w) for w in fresh], add_special_tokens=False)
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(fresh, found))
-        return known
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, found))
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -74,10 +100,20 @@ class CachedEncoder:
             else:
                 first.append(re.split(r"(?<=\S)(?=[ \n])", text))
                 rest.append([])
-        self.unit = self._fill(self.unit, set().union(*first), str)
-        self.after_space = self._fill(self.after_space, set().union(*rest), lambda w: w if w[:1] == "\n" else " " + w)
-        one, two = self.unit.__getitem__, self.after_space.__getitem__
-        return [b"".join(map(one, a)) + b"".join(map(two, b)) for a, b in zip(first, rest)]
+        if len(self.unit) + len(self.after_space) > CACHE_ENTRIES:
+            self.unit, self.after_space = {}, {}
+        new = {u for some in first for u in some if u not in self.unit}
+        self._fill(self.unit, new, str)
+        get = self.after_space.get
+        found = [list(map(get, some)) for some in rest]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        fresh = {w for k in gaps for w, ids in zip(rest[k], found[k]) if ids is None}
+        words = self._words(fresh)
+        self.after_space.update(words)
+        self._fill(self.after_space, fresh - words.keys(), lambda w: w if w[:1] == "\n" else " " + w)
+        for k in gaps:
+            found[k] = [get(w) if ids is None else ids for w, ids in zip(rest[k], found[k])]
+        return [b"".join(map(self.unit.__getitem__, a)) + b"".join(ids) for a, ids in zip(first, found)]
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -106,7 +142,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     arrow_id = pa.int64() if kind == "bigint" else None
-    fields = f"kind string, shard int, seq long, first long, n long, id {kind}, planes array<binary>, plane_bytes array<int>"
 
     def batch_of(name: str, shard: int, out: list[tuple], id_type) -> pa.RecordBatch:
         seq, first, n, ids, planes = zip(*out)
@@ -156,31 +191,36 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
             yield from chunks(True)
 
     dealt = rows.repartitionByRange(n_shards, F.col("id").asc(), F.xxhash64("text").asc()).sortWithinPartitions("id", F.xxhash64("text"))
-    dealt.mapInArrow(run, fields).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(run, file_schema(kind)).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+
+
+def file_schema(id_type: str) -> str:
+    return f"kind string, shard int, seq long, first long, n long, id {id_type}, planes array<binary>, plane_bytes array<int>"
 
 
-def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", id_type: str = "bigint") -> DataFrame:
     """(id, start, n_tokens, ids) of every document, from the files alone.
 
     ``start`` counts the ids of all documents before it, ``ids`` holds its ids as
     little-endian unsigned 32-bit integers. A task decodes one shard at a time.
     """
-    stored = spark.read.parquet(path)
-    if "kind" not in stored.columns:  # an empty set has no folders by kind
-        return stored.select(F.col("id").alias(id_col), F.col("first").alias("start"), F.col("n").alias("n_tokens"), F.lit(b"").alias("ids"))
-    docs = stored.where("kind = 'doc'").select("shard", "seq", "first", "n", "id")
-    chunks = stored.where("kind = 'chunk'").select("shard", "first", "planes")
+    def stored(name: str) -> DataFrame:
+        return spark.read.schema(file_schema(id_type)).parquet(path).where(F.col("kind") == name)
+
+    docs, chunks = stored("doc").select("shard", "first", "n", "id"), stored("chunk").select("shard", "first", "planes")
     kind = docs.schema["id"].dataType.simpleString()
 
+    # Where a shard begins is put to the small index rows, so that decoded ids are never moved.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offset = stored("doc").groupBy("shard").agg(F.sum("n").alias("_n")).select(F.col("shard").alias("_shard"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = docs.join(offset, F.col("shard") == F.col("_shard")).select("shard", "first", "n", "id", (F.col("_before") + F.col("first")).alias("start"))
+
     def decode(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         order = np.argsort(theirs.column("first").to_numpy())
         planes = theirs.column("planes")
         ids = np.concatenate([from_planes(planes[int(k)].as_py()) for k in order]).tobytes()
         first, n = mine.column("first").to_pylist(), mine.column("n").to_pylist()
         own = pa.array([ids[4 * a : 4 * (a + b)] for a, b in zip(first, n)], pa.binary())
-        return pa.table({"shard": mine.column("shard"), "first": mine.column("first"), "id": mine.column("id"), "n_tokens": mine.column("n"), "ids": own})
+        return pa.table({id_col: mine.column("id"), "start": mine.column("start"), "n_tokens": mine.column("n"), "ids": own})
 
-    read = docs.groupBy("shard").cogroup(chunks.groupBy("shard")).applyInArrow(decode, f"shard int, first long, id {kind}, n_tokens long, ids binary")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offset = docs.groupBy("shard").agg(F.sum("n").alias("_n")).select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return read.join(offset, "shard").select(F.col("id").alias(id_col), (F.col("_before") + F.col("first")).alias("start"), "n_tokens", "ids")
+    return placed.groupBy("shard").cogroup(chunks.groupBy("shard")).applyInArrow(decode, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")
