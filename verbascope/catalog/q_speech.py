@@ -224,7 +224,7 @@ LCS_FREE = "abs(length(w.word) - length(v.term_key)) <= 3"
     rf"""WITH w AS (SELECT word FROM ({WORDS_SQL}) WHERE regexp_matches(word, '^[a-z]+$')) SELECT w.word AS a, v.term_key AS b, round(jaro_winkler_similarity(w.word, v.term_key), 6) AS sim FROM w JOIN d_vocab v ON jaro_winkler_similarity(w.word, v.term_key) > 0.75""",
 )
 def _(t):
-    w = t.noisy_words.select(tx.strip_punct("word").alias("a")).where(F.col("a").rlike("^[a-z]+$")).distinct()
+    w = t.noisy_words.select(tx.strip_punct("word").alias("a")).where("a IS NOT NULL").distinct()
     p = alt.similar_pairs(w, t.vocab.select(F.col("term_key").alias("b")), [], 0.75)
     return p.select("a", "b", F.round("sim", 6).alias("sim"))
 
@@ -282,7 +282,7 @@ def _plaus_sql(e: str, k: str) -> str:
 SELECT word, term_key, round({_plaus_sql('word', 'term_key')}, 6)::DOUBLE AS score FROM p""",
 )
 def _(t):
-    w = t.noisy_words.select(tx.strip_punct("word").alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
+    w = t.noisy_words.select(tx.strip_punct("word").alias("word")).where("word IS NOT NULL").distinct()
     p = w.withColumn("h", F.left("word", F.lit(2))).join(t.vocab.select("term_key", F.left("term_key", F.lit(2)).alias("h")), "h")
     return p.select("word", "term_key", F.round(sim.plausibility(F.col("word"), F.col("term_key"))["score"], 6).alias("score"))
 
