@@ -73,3 +73,7 @@ def test_plausibility_takes_words_of_any_characters(spark, tables):
     words = ["resumé", "re-sume", "resume2", "resume", "dashboards", "dahboard"]
     assert {p for p in got if p[0] in words} == {(w, k) for w in words for k in TERMS if w[:2] == k[:2]}
     assert all(s == pytest.approx(spelling(w, k), abs=2e-6) for (w, k), s in got.items())
+
+
+def test_search_reads_whole_pages(spark, tables):
+    assert {p: found for p, found, *_ in run(spark, tables, "labels_and_search")} == {1: "hit", 2: "miss", 3: "hit"}
