@@ -77,3 +77,8 @@ def test_plausibility_takes_words_of_any_characters(spark, tables):
 
 def test_search_reads_whole_pages(spark, tables):
     assert {p: found for p, found, *_ in run(spark, tables, "labels_and_search")} == {1: "hit", 2: "miss", 3: "hit"}
+
+
+def test_features_are_reconciled_as_candidates(spark, tables):
+    assert run(spark, tables, "reconciled_swaps") == [(1, 0, 1, 0, "dahboard", "dashboard", "candidate", 0.95)]
+    assert {(f, s): c for f, s, _, c in run(spark, tables, "reconciled_segments")}[1, 0]

@@ -511,7 +511,7 @@ def _names_said(t):
 
 def _reconciled(t):
     stored(t, "vocab", "noisy_words", "noisy_segments", "detections", "retranscripts", "answers")
-    cand = _detected(t).where("category <> 'feature'")
+    cand = _detected(t)
     protected = _names_said(t).select("file_id", "term")
     lines = ev.quick_hints(ev.screen_lines(t.frames)).select("file_id", "line")
     return rc.reconcile(t.noisy_segments, t.retranscripts, t.answers, t.vocab, cand, protected, lines)
