@@ -128,6 +128,22 @@ def test_near_copies_of_the_table(spark):
     assert near_copies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_of_repeated_rows_and_ids(spark):
+    texts = ["the first text of all that is said here", "a text of its own that nobody else says", "!?"]
+    docs = edge_docs(spark, texts)
+    more = [(902, "three more words under one id"), (0, texts[1]), (1, texts[0]), (None, "said by nobody"), (None, "said by nobody"), (None, "no id at all for this"), (905, ""), (905, "")]
+    docs = docs.unionAll(spark.createDataFrame([(i, t, f"s{k}", 7, "x", 1, "y", "z") for k, (i, t) in enumerate(more)], docs.schema))
+    rows = plain(docs, "doc_id", "text")
+    head, _ = classes([shingle_set(t) for _, t in rows])
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest())
+    want = [min((r for r, h in zip(rows, head) if h == c), key=order) for c in set(head) if shingle_set(rows[c][1])]
+    want += [r for r in rows if not shingle_set(r[1])]
+    kept = near_copies.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(plain(kept, "doc_id", "text"), key=repr) == sorted(want, key=repr)
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+    assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_bands_reach_the_recall():
     b = near_copies.band_count(0.8, 4, 0.999)
     assert (1 - 0.8**4) ** b <= 0.001 < (1 - 0.8**4) ** (b - 1)

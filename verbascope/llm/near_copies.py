@@ -325,10 +325,22 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, rows: int = ROWS, rec
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of the smallest id of each class, with all their columns.
+    """One row of each class, with all its columns: the one of the smallest id, NULL last.
 
-    Rows without words stay; rows of a NULL id stay where their class has no other id.
+    Of several texts under that id the one of the smallest MD5 stays, of repeated rows
+    (same id, same text) the one whose columns have the smallest hash. Rows without
+    words are copies of nothing and all stay.
     """
-    classes = near_copies(docs, similar, id_col=id_col, text_col=text_col)
-    heads = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_head")).distinct()
-    return docs.join(heads, F.col(f"`{id_col}`").eqNullSafe(F.col("_head")), "left_semi")
+    spark, doc = docs.sparkSession, F.col(f"`{id_col}`")
+    key = F.struct(doc.isNull().alias("last"), doc.alias("id"), F.unhex(F.md5(F.col(f"`{text_col}`"))).alias("text"))
+    classes = near_copies(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), similar, id_col="key")
+    heads = classes.where("key = class_id").groupBy("key").agg(((F.count("*") > 1) & (F.max("n_links") > 0)).alias("again"))
+    heads = materialise(heads, "heads")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    once = rows.join(heads.where("NOT again"), "key", "left_semi").select("row.*")
+    if heads.where("again").isEmpty():
+        return once
+    # Repeated rows combine before they are shuffled, so none of their groups lands in one task.
+    order = F.xxhash64(*[F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    first = rows.groupBy("key").agg(F.min_by("row", order).alias("row")).join(heads.where("again"), "key", "left_semi")
+    return once.unionAll(first.select("row.*"))
