@@ -165,3 +165,14 @@ def test_pairs_learn_what_single_features_cannot():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     model = quality.fit(x[:3000], y[:3000], rounds=20)
     assert np.mean((model.score(x[3000:]) >= 0.5) == (y[3000:] == 1)) > 0.9
+
+
+def test_a_group_of_k_rows_does_not_shorten_a_result():
+    rng = np.random.default_rng(5)
+    x = neighbours.unit(rng.normal(size=(400, 64)))
+    x[:20] = x[0]
+    codes = neighbours.learn(x, nearest=5, rotations=2)
+    codes.radius, codes.widths = 0, np.zeros_like(codes.widths)
+    q, i, _ = neighbours.search(np.arange(20), x[:20], np.arange(400), x, codes, k=20)
+    assert np.bincount(q).tolist() == [20] * 20 and (q != i).all()
+    assert all({*range(20)} - {n} <= set(i[q == n].tolist()) for n in range(20))

@@ -80,7 +80,7 @@ def learn(sample: np.ndarray, nearest: int, recall: float = 0.94, rotations: int
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, row id, inner product) of the best ``k`` rows of a shard that each query's probing retrieves.
 
-    A query that retrieves fewer than ``k`` rows is held against all rows of the shard.
+    A query that retrieves fewer than ``k`` rows of other ids is held against all rows of the shard.
     """
     a, b = codes.of(unit(q)), codes.of(unit(x))
     wide = -len(codes.widths) % 8
@@ -104,8 +104,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, cod
                     apart += np.bitwise_count(a8[who, word, None] ^ theirs[word])
                 hit, at = np.divmod(np.flatnonzero(apart <= codes.radius), len(rows))
                 found[who[hit], rows[at]] = True
-    found[found.sum(axis=1) < k] = True
     found &= q_ids[:, None] != ids[None, :]
+    for i in np.flatnonzero(found.sum(axis=1) < k):
+        found[i] = q_ids[i] != ids
     out = []
     for i in range(len(q)):
         rows = np.flatnonzero(found[i])
