@@ -7,10 +7,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbascope.llm.centroids import cluster_vectors
 from verbascope.llm.chat import ANY_CONTROL, CLOSE, OPEN, canonical_turns, chat_digests, format_chat
 from verbascope.llm.decontaminate import find_passages
 from verbascope.llm.line_dedup import dedup_lines
 from verbascope.llm.lm_score import score_documents
+from verbascope.llm.merkle import lower_ascii, manifest
 from verbascope.llm.mixing import mixed_sizes
 from verbascope.llm.near_copies import near_copies
 from verbascope.llm.neighbours import nearest
@@ -171,3 +173,94 @@ def token_file_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark, table(spark, sf_dir, "documents"))
+
+
+def _moved(k: int) -> str:
+    """The round's nearest centroids and their floors of means, named by its number."""
+    return f"""
+near{k} AS (
+  SELECT rid, any_value(v.x) AS x, min(struct_pack(d := list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c := c.c)) AS best
+  FROM kept v, centre{k} c GROUP BY rid
+), mean{k} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x
+  FROM (SELECT best.c AS c, j, sum(xj) AS s, count(*) AS n FROM (SELECT best, unnest(x) AS xj, generate_subscripts(x, 1) AS j FROM near{k}) GROUP BY ALL) GROUP BY c
+), centre{k + 1} AS (SELECT c.c, coalesce(m.x, c.x) AS x FROM centre{k} c LEFT JOIN mean{k} m ON c.c = m.c)"""
+
+
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), centre0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 16),{",".join(_moved(k) for k in range(3))},
+last AS (
+  SELECT vec_id, min(struct_pack(d := list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c := c.c)) AS best
+  FROM kept v, centre3 c GROUP BY rid, vec_id
+)
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(centre3.x, ',')) AS centroid_sha256
+FROM last JOIN centre3 ON best.c = centre3.c
+"""
+
+
+@query("op12_clusters", OP12_SQL)
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64).drop("centroid")
+
+
+def _crc32_sql(text: str) -> str:
+    """Bit by bit; a step takes the low bit out and folds the polynomial in."""
+    bits = f"list_transform(range(8 * len({text})), lambda j: (ord(substr({text}, j // 8 + 1, 1)) >> (j % 8)::INT)::BIGINT & 1)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+
+def _tree_sql(name: str, key: str, levels: int) -> str:
+    """Nodes ``name``K (key, i, h, n) of each level over ``name``0, and what lies beside each in its run."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}{k}s AS MATERIALIZED (
+  SELECT {key}, i, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name}{k} WINDOW w AS (PARTITION BY {key}, i // 8 ORDER BY i)
+), {name}{k + 1} AS MATERIALIZED (
+  SELECT {key}, i // 8 AS i, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE 1 END AS n
+  FROM {name}{k} GROUP BY {key}, i // 8, n
+)""")
+    return ",".join(out)
+
+
+def _fold_sql(name: str, key: str, levels: int, source: str, out: str) -> str:
+    """Carry (own, proof) of every row of ``source`` up the levels of a tree; ``place`` is its leaf's number."""
+    steps = []
+    for k in range(levels):
+        before = source if k == 0 else f"{out}{k - 1}"
+        steps.append(f"""
+{out}{k} AS (
+  SELECT f.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.before || own || s.after) ELSE own END AS own, proof || CASE WHEN s.n > 1 THEN s.before || s.after ELSE '' END AS proof)
+  FROM {before} f JOIN {name}{k}s s ON f.{key} IS NOT DISTINCT FROM s.{key} AND f.place // {8**k} = s.i
+)""")
+    return ",".join(steps)
+
+
+_LEAF = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP13_SQL = f"""
+WITH hashed AS MATERIALIZED (
+  SELECT doc_id, lang, sha256({_LEAF} || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN sha256({_LEAF} || coalesce(strlen(text) || ':' || {_LOWER}, '-')) END AS read
+  FROM documents
+), leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+a0 AS (SELECT lang, place AS i, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves),{_tree_sql("a", "lang", 7)},
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS seat FROM a7),
+b0 AS (SELECT 0 AS one, seat AS i, subroot AS h, count(*) OVER () AS n FROM subroots),{_tree_sql("b", "one", 3)},
+start AS (SELECT doc_id, lang, leaf, place, coalesce(read, leaf) AS own, '' AS proof FROM leaves),{_fold_sql("a", "lang", 7, "start", "up")},
+middle AS (SELECT up6.* REPLACE (seat AS place), subroot, 0 AS one FROM up6 JOIN subroots ON up6.lang IS NOT DISTINCT FROM subroots.lang),{_fold_sql("b", "one", 3, "middle", "top")}
+SELECT doc_id, lang, leaf, subroot, b3.h AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = b3.h AS verified FROM top2, b3
+"""
+
+
+@query("op13_manifest", OP13_SQL)
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document, by checksum of its id, is read back with its letters lowered."""
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return manifest(table(spark, sf_dir, "documents"), tamper=F.when(third, lower_ascii(F.col("text"))).otherwise(F.col("text")))
