@@ -54,7 +54,7 @@ class Centroids:
             """Hold the rows against the centroids at these places; the rows whose side stays open."""
             nonlocal measured
             gap = total[rows] - self.sums[at]
-            # Whole numbers on both sides: gap^2 > K * least, with no rounding.
+            # A gap^2 above K * least rules out this centroid and all beyond it.
             near = (best[rows] < 0) | (np.abs(gap) <= _root(self.width, least[rows]))
             rows, at, gap = rows[near], at[near], gap[near]
             # The deviations are rounded, so their bound must be passed clearly.
@@ -68,6 +68,12 @@ class Centroids:
             best[r[better]], least[r[better]] = c[better], d[better]
             return rows
 
+        # The nearer neighbour first: its distance closes most of the rest.
+        below = (left >= 0) & ((right >= k) | (total - self.sums[left] <= self.sums[np.minimum(right, k - 1)] - total))
+        look(np.flatnonzero(below), left[below])
+        look(np.flatnonzero(~below), right[~below])
+        left[below] -= 1
+        right[~below] += 1
         open_left, open_right = np.flatnonzero(left >= 0), np.flatnonzero(right < k)
         while len(open_left) or len(open_right):
             if len(open_right):
@@ -88,9 +94,8 @@ def deviation(x: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def _root(width: int, least: np.ndarray) -> np.ndarray:
-    """Largest whole g with g * g <= width * least, where the product may pass a long."""
-    g = np.sqrt(least.astype(np.float64) * width).astype(np.int64)
-    return g + 2  # at least the true root; a wider gap is measured, never a narrower one skipped
+    """A whole number not below the root of width * least, a product that may pass a long."""
+    return (np.sqrt(least.astype(np.float64) * width) * (1 + 1e-12)).astype(np.int64) + 2
 
 
 def whole_vectors(vectors: DataFrame, width: int, id_col: str, vector_col: str) -> DataFrame:
@@ -110,7 +115,7 @@ def starts(rows: DataFrame, k: int) -> np.ndarray:
     """The ``k`` vectors of the smallest hash of their id; equal ids by their components."""
     first = rows.where("id IS NOT NULL").select(F.sha2(F.concat(F.lit("1:"), F.col("id").cast("string")), 256).alias("h"), "x")
     found = first.orderBy("h", "x").limit(k).collect()
-    return np.array([r.x for r in found], dtype=np.int64).reshape(len(found), -1)
+    return np.array([r.x for r in found], dtype=np.int64)
 
 
 def moved(rows: DataFrame, centroids: Centroids) -> Centroids:
