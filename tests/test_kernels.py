@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from verbascope.catalog.registry import Tables
+from verbascope.functions import fuzzy
 from verbascope.functions import similarity as sim
+from verbascope.functions.text import strip_punct
 from verbascope.operators import alignment as al
 from verbascope.operators import vocabulary as vo
 from verbascope.operators.alternatives import similar_pairs
@@ -110,7 +113,7 @@ def test_edit_script_is_the_same_at_any_length(monkeypatch):
 
 
 def test_word_blocks_meet_once(spark, monkeypatch):
-    monkeypatch.setattr(sim, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(fuzzy, "BLOCK_WORDS", 7)
     left, right = [f"word{k}" for k in range(30)] + [None], [f"ward{k}" for k in range(20)]
     l, r = spark.createDataFrame([(x,) for x in left], "word string"), spark.createDataFrame([(x,) for x in right], "term_key string")
     got = [(x.word, x.term_key) for x in vo.fuzzy_pairs(l, r, 80.0).collect()]
@@ -125,3 +128,32 @@ def test_plausibility_guards(spark):
     s = {r.e: r.s for r in d.select("e", p.alias("s")).collect()}
     assert s["quadrant"] >= sim.ACCEPT_PLAUSIBILITY
     assert s["and"] == 0.05 and s["is"] == 0.05 and s["but"] == 0.05 and s["groq"] == 1.0
+
+
+ODD_WORDS = ["", "a", "é" * 70, "x" * 64, "x" * 65, "naïve", "ab" * 40, "日本語", "日本", "aaaaaaa", "aaaa", "mississippi", "misisipi", "ΑΒΓ", "abcdefghij" * 6]
+
+
+@pytest.mark.parametrize(
+    ("measure", "plain"),
+    [(fuzzy.IndelRatio(60.0), sim.indel_ratio), (fuzzy.IndelRatio(85.0), sim.indel_ratio), (fuzzy.JaroWinkler(0.75), sim.jaro_winkler), (fuzzy.JaroWinkler(0.9), sim.jaro_winkler)],
+)
+def test_bounds_lose_no_pair(measure, plain):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeinrsté") for _ in range(rng.randint(1, 12))) for _ in range(150)] + ODD_WORDS
+    for left, right in ((words, words[::2]), (ODD_WORDS, ["z"]), ([], words), (words, [])):
+        want = {(i, j): v for i, a in enumerate(left) for j, b in enumerate(right) if measure.accept(v := plain(a, b))}
+        i, j, value, _ = fuzzy.close_pairs(left, right, measure)
+        assert {(a, b): v for a, b, v in zip(i.tolist(), j.tolist(), value.tolist())} == want and len(i) == len(want)
+
+
+@pytest.mark.parametrize("measure", [fuzzy.IndelRatio(60.0), fuzzy.JaroWinkler(0.75)])
+def test_few_pairs_are_scored(spark, measure):
+    """All words and terms of a table, as the catalogue's queries take them; the rest is scored by the plain kernels."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    words = sorted(w for (w,) in t.noisy_words.select(strip_punct("word")).distinct().collect() if w is not None)
+    terms = sorted(k for (k,) in t.vocab.select("term_key").collect())
+    i, j, value, scored = fuzzy.close_pairs(words, terms, measure)
+    assert scored < 0.05 * len(words) * len(terms) and len(i) < scored
+    plain = sim.indel_ratios if isinstance(measure, fuzzy.IndelRatio) else sim.jaro_winklers
+    all_ = plain([w for w in words for _ in terms], terms * len(words))
+    assert set(zip(i.tolist(), j.tolist(), value.tolist())) == {(k // len(terms), k % len(terms), v) for k, v in enumerate(all_.tolist()) if measure.accept(v)}

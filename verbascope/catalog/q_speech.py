@@ -216,12 +216,22 @@ def _(t):
 
 
 WORDS_SQL = f"SELECT DISTINCT {strip('word')} AS word FROM d_noisy_words WHERE length({strip('word')}) >= 2"
+
+
+def one_byte(column: str) -> str:
+    """The SQL engine's string measures compare bytes. Words are in lower case, so accented
+    letters can be written as capitals: every character of the tables is then one byte."""
+    accented = "ßàáâäåæçèéêëìíîïñòóôöùúûüœ"
+    return f"translate({column}, '{accented}', '{''.join(chr(65 + k) for k in range(len(accented)))}')"
+
+
 LCS_FREE = "abs(length(w.word) - length(v.term_key)) <= 3"
 
 
 @query(
     "jaro_winkler_pairs",
-    rf"""WITH w AS (SELECT word FROM ({WORDS_SQL}) WHERE regexp_matches(word, '^[a-z]+$')) SELECT w.word AS a, v.term_key AS b, round(jaro_winkler_similarity(w.word, v.term_key), 6) AS sim FROM w JOIN d_vocab v ON jaro_winkler_similarity(w.word, v.term_key) > 0.75""",
+    f"""WITH w AS (SELECT word, {one_byte('word')} AS x FROM ({WORDS_SQL})), v AS (SELECT term_key, {one_byte('term_key')} AS y FROM d_vocab)
+SELECT w.word AS a, v.term_key AS b, round(jaro_winkler_similarity(x, y), 6) AS sim FROM w JOIN v ON jaro_winkler_similarity(x, y) > 0.75""",
 )
 def _(t):
     w = t.noisy_words.select(tx.strip_punct("word").alias("a")).where("a IS NOT NULL").distinct()
@@ -278,8 +288,8 @@ def _plaus_sql(e: str, k: str) -> str:
 
 @query(
     "plausibility_spelling",
-    rf"""WITH w AS (SELECT word FROM ({WORDS_SQL}) WHERE regexp_matches(word, '^[a-z]+$')), p AS (SELECT w.word, v.term_key FROM w JOIN d_vocab v ON left(w.word, 2) = left(v.term_key, 2))
-SELECT word, term_key, round({_plaus_sql('word', 'term_key')}, 6)::DOUBLE AS score FROM p""",
+    f"""WITH w AS ({WORDS_SQL}), p AS (SELECT w.word, v.term_key, {one_byte('w.word')} AS x, {one_byte('v.term_key')} AS y FROM w JOIN d_vocab v ON left(w.word, 2) = left(v.term_key, 2))
+SELECT word, term_key, round({_plaus_sql('x', 'y')}, 6)::DOUBLE AS score FROM p""",
 )
 def _(t):
     w = t.noisy_words.select(tx.strip_punct("word").alias("word")).where("word IS NOT NULL").distinct()

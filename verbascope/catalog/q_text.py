@@ -585,7 +585,7 @@ def _(t):
 
 @query(
     "labels_and_search",
-    r"""SELECT page_id, CASE WHEN contains(lower(url || ' ' || substr(html, 1, 20)), 'example.com') THEN 'hit' ELSE 'miss' END AS found,
+    r"""SELECT page_id, CASE WHEN contains(lower(url || ' ' || html), 'example.com') THEN 'hit' ELSE 'miss' END AS found,
   upper(substr(host, 1, 1)) || lower(substr(host, 2)) AS label, substr(url, 1, 20) AS short
 FROM (SELECT page_id, url, html, regexp_extract(url, '//([a-z]+)', 1) AS host FROM pages)""",
 )

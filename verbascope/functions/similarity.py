@@ -173,7 +173,7 @@ def _where_equal(rows: np.ndarray, char: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, 8 - packed.shape[1])))).view(np.uint64).ravel()
 
 
-def _low_bits(n: np.ndarray) -> np.ndarray:
+def low_bits(n: np.ndarray) -> np.ndarray:
     """The lowest n bits set, n from 0 to 64."""
     shift = np.minimum(n, WORD_BITS - 1).astype(np.uint64)
     return np.where(n >= WORD_BITS, ~np.uint64(0), (np.uint64(1) << shift) - np.uint64(1))
@@ -196,7 +196,7 @@ def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
 
     def kernel(a, b, la, lb):
         rows, cols = char_rows(a, max(1, int(la.max())), 0), char_rows(b, max(1, int(lb.max())), 0xFFFFFFFF)
-        full = _low_bits(la)
+        full = low_bits(la)
         row = full.copy()
         for j in range(int(lb.max())):
             hit = row & _where_equal(rows, cols[:, j])
@@ -217,7 +217,7 @@ def jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
         used, m = np.zeros(len(a), dtype=np.uint64), np.zeros(len(a), dtype=np.int64)
         mine, theirs = np.zeros_like(rows), np.zeros_like(rows)
         for i in range(int(la.max())):
-            window = _low_bits(np.minimum(lb, i + reach + 1)) & ~_low_bits(np.maximum(i - reach, 0))
+            window = low_bits(np.minimum(lb, i + reach + 1)) & ~low_bits(np.maximum(i - reach, 0))
             free = _where_equal(cols, rows[:, i]) & window & ~used
             free[i >= la] = 0
             low = free & (~free + np.uint64(1))
@@ -448,72 +448,3 @@ def plausibility(error: Column, term: Column, error_code: Column | None = None,
         )
         .otherwise(F.struct(score.alias("score"), reasons.alias("reasons")))
     )
-
-
-# --------------------------------------------------------------------------
-# fuzzy word joins
-# --------------------------------------------------------------------------
-
-# Words of either side that one task of a fuzzy join holds, and pairs it scores at once.
-BLOCK_WORDS = 4096
-PAIRS_AT_ONCE = 200_000
-# Classes of characters of the overlap bound.
-CLASSES = 64
-
-
-def _char_counts(words: list[str]) -> np.ndarray:
-    """How often each class of characters occurs in each word."""
-    sizes = [len(w) for w in words]
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    key = np.repeat(np.arange(len(words)), sizes) * CLASSES + flat % CLASSES
-    return np.minimum(np.bincount(key, minlength=len(words) * CLASSES), 255).reshape(-1, CLASSES).astype(np.uint8)
-
-
-def scored_pairs(left: list[str], right: list[str], enough, score, accept) -> tuple[list[str], list[str], np.ndarray]:
-    """Accepted pairs of two word lists with their score.
-
-    ``enough(common, la, lb)`` tests an upper bound of the shared characters (classes
-    hold more than one character, so it can only be too high; words above 255
-    characters are always scored). Only what passes reaches the kernel.
-    """
-    counts, size = _char_counts(right), np.array([len(w) for w in right], dtype=np.int64)
-    out: tuple[list, list, list] = ([], [], [])
-    step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
-    for k in range(0, len(left), step):
-        some = left[k : k + step]
-        own, la = _char_counts(some), np.array([len(w) for w in some], dtype=np.int64)
-        common = np.zeros((len(some), len(right)), dtype=np.int64)
-        for c in np.flatnonzero(own.any(axis=0) & counts.any(axis=0)):
-            common += np.minimum(own[:, c, None], counts[None, :, c])
-        long = np.maximum(la[:, None], size[None, :]) > 255
-        i, j = np.nonzero(enough(common, la[:, None], size[None, :]) | long)
-        a, b = [some[x] for x in i], [right[x] for x in j]
-        values = score(a, b)
-        for x in np.flatnonzero(accept(values)):
-            out[0].append(a[x])
-            out[1].append(b[x])
-            out[2].append(values[x])
-    return out[0], out[1], np.array(out[2], dtype=np.float64)
-
-
-def fuzzy_word_join(left: DataFrame, a: str, right: DataFrame, b: str, enough, score, accept, out: str) -> DataFrame:
-    """``a, b, out``: accepted pairs of two sets of distinct words.
-
-    Both sides are dealt to blocks of bounded size by a hash of the word; every block
-    of one side meets every block of the other in one task, which holds just these
-    two and returns accepted pairs alone. NULL words pair with nothing.
-    """
-    sides = []
-    for df, c in ((left, a), (right, b)):
-        sides.append((df.where(F.col(c).isNotNull()).select(F.col(c).alias("w")), c))
-    n = [max(1, -(-df.count() // BLOCK_WORDS)) for df, _ in sides]
-    deal = lambda m: F.pmod(F.xxhash64("w"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    one = sides[0][0].select("w", deal(n[0]).alias("i"), every(n[1]).alias("j"))
-    two = sides[1][0].select("w", every(n[0]).alias("i"), deal(n[1]).alias("j"))
-
-    def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        found = scored_pairs(x.column("w").to_pylist(), y.column("w").to_pylist(), enough, score, accept) if x.num_rows and y.num_rows else ([], [], [])
-        return pa.table({c: pa.array(v, t) for c, v, t in zip((a, b, out), found, (pa.string(), pa.string(), pa.float64()))})
-
-    return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInArrow(run, f"`{a}` string, `{b}` string, `{out}` double")

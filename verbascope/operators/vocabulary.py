@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbascope.functions import similarity as sim
+from verbascope.functions.fuzzy import IndelRatio, fuzzy_word_join
 from verbascope.functions.text import strip_ws, term_variants
 
 def merge_vocabularies(domain: DataFrame, custom: DataFrame | None = None) -> DataFrame:
@@ -73,10 +74,7 @@ def fuzzy_pairs(words: DataFrame, terms: DataFrame, min_ratio: float = 60.0) ->
     at that ratio shares at least ``min_ratio``/200 of its characters; blocks of words
     meet blocks of terms, and pairs within the bound are scored together.
     """
-    need = min_ratio / 200.0 - 1e-9
-    enough = lambda common, la, lb: common >= (la + lb) * need
-    accept = lambda ratio: ratio >= min_ratio
-    met = sim.fuzzy_word_join(words, "word", terms, "term_key", enough, sim.indel_ratios, accept, "ratio")
+    met = fuzzy_word_join(words, "word", terms, "term_key", IndelRatio(min_ratio), "ratio")
     return met.where(F.col("word") != F.col("term_key"))
 
 
