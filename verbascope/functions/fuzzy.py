@@ -167,7 +167,10 @@ class JaroWinkler:
             low = _lowest(y.masks[j, x.codes[i, s]] & window & ~used)
             used |= low
             mine |= (low != 0).astype(np.uint64) << np.uint64(s)
+        # What is matched is exact; only pairs that have enough of it are put in order.
         m = np.bitwise_count(used).astype(np.int64)
+        kept = np.flatnonzero(m >= need)
+        i, j, la, lb, prefix, at, used, mine, m = (c[kept] for c in (i, j, la, lb, prefix, at, used, mine, m))
         swaps = np.zeros(len(i), dtype=np.int64)
         a, b = mine, used
         for k in range(int(m.max(initial=0))):
