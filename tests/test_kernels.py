@@ -154,11 +154,12 @@ def said_and_terms(spark):
     return words, sorted(k for (k,) in t.vocab.select("term_key").collect())
 
 
-@pytest.mark.parametrize("measure", [fuzzy.IndelRatio(60.0), fuzzy.JaroWinkler(0.75)])
-def test_few_pairs_are_scored(said_and_terms, measure):
+@pytest.mark.parametrize(("measure", "share"), [(fuzzy.IndelRatio(60.0), 0.05), (fuzzy.JaroWinkler(0.75), 0.08)])
+def test_few_pairs_are_scored(said_and_terms, measure, share):
+    """Of Jaro-Winkler 3.2 % of all pairs are results here."""
     words, terms = said_and_terms
     i, j, value, scored = fuzzy.close_pairs(words, terms, measure)
-    assert len(i) <= scored < 0.05 * len(words) * len(terms)
+    assert len(i) <= scored < share * len(words) * len(terms)
     plain = sim.indel_ratios if isinstance(measure, fuzzy.IndelRatio) else sim.jaro_winklers
     got = set(zip(i.tolist(), j.tolist(), value.tolist()))
     for first in range(0, len(words), 1000):
