@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -11,7 +12,7 @@ vocabularies = pytest.importorskip("public_tokenizers")
 from helpers import SF, edge_docs, plain  # noqa: E402
 
 from verbascope.llm.token_counts import TextCounter, count_tokens  # noqa: E402
-from verbascope.llm.token_files import CachedEncoder, from_planes, read_token_files, to_planes, write_token_files  # noqa: E402
+from verbascope.llm.token_files import CachedEncoder, from_planes, pieces_of, read_token_files, text_bytes, to_planes, write_token_files  # noqa: E402
 
 PIECES, BYTES = vocabularies.path("piece_bpe_32k.model"), vocabularies.path("byte_bpe_50k.json")
 
@@ -41,11 +42,17 @@ def test_count_tokens(spark):
     assert count_tokens(docs.limit(0), PIECES).count() == 0
 
 
-def test_encoder_is_the_librarys():
-    texts = odd_texts(4000, 2) + LONG
-    library = tokenizers.Tokenizer.from_file(BYTES)
-    for text, ids, want in zip(texts, CachedEncoder(BYTES).encode(texts), library.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
+@pytest.mark.parametrize("run", [40, 1 << 30])
+def test_encoder_is_the_librarys(run):
+    texts = odd_texts(4000, 2) + LONG + ["Ab\u2003 c\u3000\nd", "é.\nÉté, ", "“a” b\xa0 c", "no.space,here .", None]
+    library, encoder = tokenizers.Tokenizer.from_file(BYTES), CachedEncoder(BYTES)
+    data, bounds = text_bytes(pa.array(["left out", *texts])[1:])
+    cuts, owner = pieces_of(data, bounds, run)
+    ids, counts = encoder.encode(data, cuts)
+    assert (len(owner) > len(texts)) == (run == 40)
+    ends = np.cumsum(np.bincount(owner, counts, minlength=len(texts))).astype(int)
+    for text, own, want in zip(texts, np.split(ids, ends[:-1]), library.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert own.tolist() == want.ids, text
 
 
 def test_planes_round_trip():
@@ -53,10 +60,10 @@ def test_planes_round_trip():
         assert from_planes(to_planes(np.array(ids, dtype="<u4"))).tolist() == ids
 
 
-@pytest.mark.parametrize("chunk_ids", [7, 65536])
-def test_files_round_trip(spark, tmp_path, chunk_ids):
+@pytest.mark.parametrize(("chunk_ids", "part_ids"), [(7, 20), (7, 4_000_000), (65536, 1)])
+def test_files_round_trip(spark, tmp_path, chunk_ids, part_ids):
     docs = edge_docs(spark, ["one two", "<|endoftext|> in a text", "line\nline", "w " * 400])
-    write_token_files(docs, f"{tmp_path}/f", BYTES, docs_per_shard=3, chunk_ids=chunk_ids)
+    write_token_files(docs, f"{tmp_path}/f", BYTES, docs_per_shard=3, chunk_ids=chunk_ids, part_ids=part_ids)
     library = tokenizers.Tokenizer.from_file(BYTES)
     got = sorted(read_token_files(spark, f"{tmp_path}/f").collect(), key=lambda r: r.start)
     at = 0

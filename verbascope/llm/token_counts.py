@@ -101,34 +101,45 @@ class PieceMerger:
         """Number of tokens of each pre-token, spaces already written as U+2581."""
         out = np.zeros(len(words), dtype=np.int64)
         sym = self.of_char[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
-        seq = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        for end, seq in self.merged(sym, np.repeat(np.arange(len(words)), [len(w) for w in words])):
+            code = end - OTHER
+            width = np.where(code < 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+            out += np.bincount(seq, weights=width, minlength=len(words)).astype(np.int64)
+        return out
+
+    def merged(self, sym: np.ndarray, seq: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(symbols, sequence numbers) of sequences as they come to have no pair left.
+
+        A pair's rank is looked up when one of its symbols is new, and carried along else.
+        """
+        rank, made = np.full(len(sym), BIG), np.zeros(len(sym), dtype=np.int64)
+        fresh = np.flatnonzero(seq[:-1] == seq[1:])
         while len(sym):
-            rank, made = np.full(len(sym), BIG), np.zeros(len(sym), dtype=np.int64)
-            rank[:-1], made[:-1] = self._pair(sym[:-1], sym[1:])
-            rank[:-1][seq[:-1] != seq[1:]] = BIG
+            rank[fresh], made[fresh] = self._pair(sym[fresh], sym[fresh + 1])
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            sizes = np.diff(np.r_[starts, len(sym)])
-            least = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(sym)]))
             done = least == BIG
             if done.any():
-                end = sym[done]
-                code = end - OTHER
-                width = np.where(code < 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
-                out += np.bincount(seq[done], weights=width, minlength=len(words)).astype(np.int64)
-                live = ~done
+                yield sym[done], seq[done]
+                live = np.flatnonzero(~done)
                 sym, seq, rank, made, least = sym[live], seq[live], rank[live], made[live], least[live]
                 if not len(sym):
                     break
             at = np.flatnonzero(rank == least)
             # Of pairs that overlap every second one counts, from the left.
             run = np.r_[True, np.diff(at) > 1]
-            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0]
+            if not run.all():
+                at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0]
             at = at[self._until_better(sym, seq, made, least, at)]
             sym[at] = made[at]
             keep = np.ones(len(sym), dtype=bool)
             keep[at + 1] = False
-            sym, seq = sym[keep], seq[keep]
-        return out
+            sym, seq, rank, made = sym[keep], seq[keep], rank[keep], made[keep]
+            new = at - np.arange(len(at))
+            rank[new] = BIG
+            fresh = np.concatenate([new, new[new > 0] - 1])
+            fresh = fresh[fresh + 1 < len(sym)]
+            fresh = fresh[seq[fresh] == seq[fresh + 1]]
 
     def _until_better(self, sym, seq, made, least, at) -> np.ndarray:
         """Of each sequence's occurrences the ones up to the first whose new pair comes
