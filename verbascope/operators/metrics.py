@@ -14,7 +14,7 @@ from verbascope.functions import similarity as sim
 from verbascope.functions.text import norm_metric, norm_wer, norm_ws, tokens
 from verbascope.operators.alignment import align, diff_rows, script_count
 from verbascope.operators.ordered import exact_percentiles
-from verbascope.operators.terms import find_terms
+from verbascope.operators.positions import scan_terms
 
 INF = float("inf")
 
@@ -109,10 +109,8 @@ def tter_region_occurrences(pairs: DataFrame, vocab: DataFrame, keys: list[str],
     v = vocab.select(
         norm_ws("term").alias("term_key"), "term", "category", F.transform("known_errors", norm_ws).alias("_errs"), "known_errors"
     )
-    hits = find_terms(d.select(*keys, "text"), v.select("term_key"), keys)
-    by_text = hits.groupBy(*keys).agg(F.collect_list(F.struct("term_key", "positions")).alias("_hits"))
     ratio = F.length("_hyp") / F.greatest(F.length("text"), F.lit(1))
-    rows = by_text.join(d, keys).select(*keys, "_hits", "_hyp", ratio.alias("_ratio"), F.length("_hyp").alias("_n"))
+    rows = d.select(*keys, scan_terms(F.col("text"), v).alias("_hits"), "_hyp", ratio.alias("_ratio"), F.length("_hyp").alias("_n"))
 
     def region(p: Column, n: Column) -> Column:
         lo = F.greatest(F.floor(p * F.col("_ratio")).cast("int") - margin, F.lit(0))
@@ -128,7 +126,7 @@ def tter_region_occurrences(pairs: DataFrame, vocab: DataFrame, keys: list[str],
             ),
         )
     )
-    occ = rows.select(*keys, F.explode_outer(each).alias("o")).select(*keys, "o.*")
+    occ = rows.select(*keys, F.explode_outer(each).alias("o")).where("o IS NOT NULL").select(*keys, "o.*")
     full = occ.join(v, "term_key")
     found = F.contains(F.col("region"), F.col("term_key"))
     wrong = F.filter(F.arrays_zip("_errs", "known_errors"), lambda e: F.contains(F.col("region"), e["_errs"]))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verbascope.operators.intervals import points_in
 from verbascope.operators.ordered import running
+from verbascope.session import materialise
 
 # Segments per chunk of the running offset, characters per join bucket.
 CHUNK_SEGMENTS = 1024
@@ -65,11 +71,100 @@ def _whole_words(text: str, term: str) -> list[int]:
     return kept
 
 
+# Terms that one automaton holds; more are searched in as many passes as they fill.
+TERMS_AT_ONCE = 100_000
 _HITS = T.ArrayType(
     T.StructType([T.StructField("term_key", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 )
 
 
+class TermScan:
+    """All occurrences of many terms in one pass over a text, by an automaton over the terms."""
+
+    def __init__(self, terms: list[str], word_boundary: bool):
+        import ahocorasick
+
+        self.terms, self.whole = pa.array(terms, pa.string()), word_boundary
+        self.sizes = np.array([len(w) for w in terms], dtype=np.int64)
+        self.automaton = ahocorasick.Automaton()
+        for k, w in enumerate(terms):
+            self.automaton.add_word(w, k)
+        self.automaton.make_automaton()
+
+    def _whole_words(self, text: str, ends: list[int], which: list[int]) -> tuple[list[int], list[int]]:
+        """Hits with a word edge on both sides; of hits of a term that overlap the leftmost ones."""
+        n, free_from, kept = len(text), {}, ([], [])
+        edge = lambda i: (i > 0 and _wordish(text[i - 1])) != (i < n and _wordish(text[i]))
+        for end, k in zip(ends, which):
+            start = end + 1 - int(self.sizes[k])
+            if start >= free_from.get(k, 0) and edge(start) and edge(end + 1):
+                free_from[k] = end + 1
+                kept[0].append(end)
+                kept[1].append(k)
+        return kept
+
+    def search(self, texts: list[str | None]) -> pa.Array:
+        """For every text the (term, start positions) of the terms it holds; NULL holds none."""
+        ends, which, counts = [], [], np.zeros(len(texts), dtype=np.int64)
+        for n, text in enumerate(texts):
+            if text and len(self.sizes):
+                hits = list(self.automaton.iter(text))
+                if hits:
+                    own = [e for e, _ in hits], [k for _, k in hits]
+                    if self.whole:
+                        own = self._whole_words(text, *own)
+                    ends += own[0]
+                    which += own[1]
+                    counts[n] = len(own[0])
+        row, term = np.repeat(np.arange(len(texts)), counts), np.array(which, dtype=np.int64)
+        start = np.array(ends, dtype=np.int64) + 1 - (self.sizes[term] if len(term) else 0)
+        turn = np.lexsort((start, term, row))
+        row, term, start = row[turn], term[turn], start[turn]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])][: len(row)])
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(start, pa.int32()))
+        pair = pa.StructArray.from_arrays([self.terms.take(pa.array(term[first])), inner], ["term_key", "positions"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(texts) + 1)), pa.int32()), pair)
+
+
+def _scanner(name: str, make) -> TermScan:
+    """The scan of this name, built once a Python worker; the last few are kept."""
+    held = vars(sys).setdefault("_verbascope_scans", {})
+    if name not in held:
+        while len(held) >= 4:
+            held.pop(next(iter(held)))
+        held[name] = make()
+    return held[name]
+
+
+def scan_terms(text: Column, terms: DataFrame, word_boundary: bool = False) -> Column:
+    """Array of (term_key, start positions) of the terms a text holds, each text read once.
+
+    The distinct terms are sent to every task, at most ``TERMS_AT_ONCE`` of them in one
+    automaton; a longer list is sent and searched in parts. Overlapping hits count unless
+    ``word_boundary`` asks for whole words.
+    """
+    spark = terms.sparkSession
+    # A term whose first word is empty begins with a blank and is none of a normalised text.
+    found = terms.select("term_key").where(F.split_part("term_key", F.lit(" "), F.lit(1)) != "").distinct()
+    few = found.limit(TERMS_AT_ONCE + 1).collect()
+    parts = [few]
+    if len(few) > TERMS_AT_ONCE:
+        stored = materialise(found, "terms")
+        n = -(-stored.count() * 5 // (4 * TERMS_AT_ONCE))
+        parts = [stored.where(F.pmod(F.xxhash64("term_key"), F.lit(n)) == k).collect() for k in range(n)]
+
+    def search(rows) -> Column:
+        sent, name = spark.sparkContext.broadcast([r.term_key for r in rows]), uuid.uuid4().hex
+
+        @F.arrow_udf(_HITS)
+        def run(texts: pa.Array) -> pa.Array:
+            return _scanner(name, lambda: TermScan(sent.value, word_boundary)).search(texts.to_pylist())
+
+        return run(text)
+
+    return F.concat(*[search(rows) for rows in parts]) if len(parts) > 1 else search(parts[0])
+
+
 def find_each(text: Column, terms: Column, word_boundary: bool = False) -> Column:
     """Array of (term, start positions) for the terms that occur in a text."""
     find = _whole_words if word_boundary else _starts
