@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+HASH_RUN = 1 << 20  # bytes hashed at a time
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,7 +70,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@kept
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     base = 0xD6E8FEB86659FD93
@@ -78,6 +78,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+@kept
+def run_powers() -> tuple[np.ndarray, np.ndarray]:
+    """The tables of a run, of one size, so that a worker holds them once: 16 bytes a byte of a run."""
+    return powers(HASH_RUN)
+
+
 @kept
 def byte_values() -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * M1)
@@ -86,12 +92,22 @@ def byte_values() -> np.ndarray:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of every word, in order; words are parted by the byte 32 alone.
 
-    One running sum over all bytes gives every word's polynomial hash by two look-ups.
+    A running sum over the bytes of a run gives every word's polynomial hash by two
+    look-ups. A word's hash depends on its own bytes alone, so runs may begin at any
+    word; only a word longer than a run needs tables of its own length, which are let go.
     """
     raw = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
-    up, down = powers(1 << max(16, len(raw).bit_length()))
-    total = np.r_[np.uint64(0), np.cumsum(byte_values()[raw] * down[: len(raw)], dtype=np.uint64)]
     edge = np.flatnonzero(np.diff(np.r_[False, raw != 32, False].astype(np.int8)))
     first, last = edge[::2], edge[1::2]
     text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
-    return text, mix64((total[last] - total[first]) * up[first])
+    out = np.zeros(len(first), dtype=np.uint64)
+    k = 0
+    while k < len(first):
+        to = max(k + 1, int(np.searchsorted(last, first[k] + HASH_RUN, side="right")))
+        some = raw[first[k] : last[to - 1]]
+        up, down = run_powers() if len(some) <= HASH_RUN else powers(len(some))
+        total = np.r_[np.uint64(0), np.cumsum(byte_values()[some] * down[: len(some)], dtype=np.uint64)]
+        a, b = first[k:to] - first[k], last[k:to] - first[k]
+        out[k:to] = mix64((total[b] - total[a]) * up[a])
+        k = to
+    return text, out
