@@ -242,5 +242,6 @@ def _(t):
     src = Source()
     src.pages = pages
     kept = st.distinct_frames_stream(derive.frames(src))
-    st.drain(kept, out, chk)
+    with st.rocks_state(t.spark):
+        st.drain(kept, out, chk, one_batch=True)
     return t.spark.read.schema(kept.schema).parquet(out).select("file_id", "ts")
