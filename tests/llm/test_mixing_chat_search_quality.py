@@ -1,3 +1,4 @@
+import hashlib
 import json
 import zlib
 from collections import Counter, defaultdict
@@ -66,6 +67,13 @@ def test_mixed_documents(spark):
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
 
+def test_columns_of_any_names_come_back_from_the_mix(spark):
+    rows = [(k, f"w{k} " * (k % 9), f"s{k % 2}" if k % 5 else None, k, -k, f"h{k}", k * 2, k * 3, float(k)) for k in range(60)]
+    docs = spark.createDataFrame([*rows, (None, "no id", "s1", 1, 2, "n", 4, 5, 6.0), (None, None, "s1", 1, 2, "n", 4, 5, 6.0)], "doc_id long, text string, source string, block long, slot long, lo string, hi long, _size long, `_x.y` double")
+    out = mixing.mixed_documents(mixing.mix(docs, block=8), docs.columns, block=8)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()} and out.count() > 30
+
+
 def test_golden_step():
     for n in (1, 2, 3, 4, 10, 97, 4096, 99_991):
         g, inverse = mixing.golden_step(n)
@@ -95,6 +103,20 @@ def test_layouts(spark):
     assert chat.canonical_turns(df.limit(0)).count() == 0
 
 
+def test_long_turns_and_rows_that_name_their_role(spark):
+    long = "long <s> text é " * 1_500_000
+    records = [
+        (1, {"turn": 0, "role": "human", "text": "q"}), (1, {"turn": 1, "role": "assistant", "text": long}), (2, {"messages": [{"role": "gpt", "content": long}, {"role": "user", "content": None}]}),
+        (3, {"prompt": "p", "completion": long}), (4, {"instruction": "i", "input": "", "output": long}), (5, {"turn": None, "role": None, "text": long}), (6, {"other": long}),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in records], "conv_id long, record string").repartition(4)
+    turns = chat.canonical_turns(df)
+    got = sorted(plain(turns.select("conv_id", "turn", "role", F.md5("text").alias("m")), "conv_id", "turn", "role", "m"), key=repr)
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    want = [(1, 0, "human", "q"), (1, 1, "assistant", long), (2, 0, "assistant", long), (2, 1, "user", ""), (3, 0, "user", "p"), (3, 1, "assistant", long), (4, 0, "user", "i"), (4, 1, "assistant", long), (5, None, "", long)]
+    assert got == sorted([*((i, t, r, digest(x)) for i, t, r, x in want), (6, None, None, None)], key=repr)
+
+
 def test_template_is_reversible(spark):
     texts = ["", "a\\", "\\<s>", "<s>\\", f"\\\\{chat.OPEN}x\n{chat.CLOSE}", f"\n{chat.CLOSE}", chat.OPEN * 2, "<|turn_end|", "x" * 50_000, "é\n\n[INST]\\[/INST]"]
     rows = [(k, n, role, t) for k, t in enumerate(texts) for n, role in enumerate(["user", "assistant", "odd\nrole <s>%"])]

@@ -76,6 +76,35 @@ def test_passages_against_alignment():
                 assert (t, i) not in found
 
 
+def test_hits_without_end_are_counted_in_batches(monkeypatch):
+    text = "x1 " + "0" * 3000 + " y2 " + "0" * 90 + "7" * 400
+    items = ["0" * 120, "0" * 60 + "7" * 60, "x1" + "0" * 100]
+    want = decontaminate.Passages(items, decontaminate.Budget()).find([text, "0" * 50, text])
+    assert {(t, i) for t, i, *_ in want} == {(t, i) for t in (0, 2) for i in range(3)}
+    most, seen = 5000, []
+    monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", most)
+    passages = decontaminate.Passages(items, decontaminate.Budget())
+    bands = passages._bands
+    monkeypatch.setattr(passages, "_bands", lambda spot, k, n, *rest: seen.append(int(n.sum())) or bands(spot, k, n, *rest))
+    assert passages.find([text, "0" * 50, text]) == want
+    assert len(seen) > 20 and max(seen) <= most + 400
+
+
+def test_short_items_have_a_tenth_of_their_letters_as_edits():
+    rng = random.Random(8)
+    items = ["".join(rng.choice("abcdefghij") for _ in range(m)) for m in (8, 9, 10, 15, 19, 20, 25, 29, 30, 31, 32, 40)]
+    index = decontaminate.PassageIndex([*items, "short", ""], decontaminate.Budget())
+    texts = []
+    for x in items:
+        y = list(x)
+        for k in rng.sample(range(len(x)), len(x) // 10):
+            y[k] = "z"
+        texts.append("of " + "".join(y) + " it")
+    found = {(t, i): e for t, i, e, _, _ in index.find(texts)}
+    for n, x in enumerate(items):
+        assert found[n, n] == edits_within(x, texts[n]) <= len(x) // 10
+
+
 def test_find_and_remove_passages(spark):
     item = "A passage of the benchmark that is long enough to be told from others, by far."
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, item), (None, "Another passage of the same benchmark, of nearly the same length.")], "item_id long, text string")

@@ -49,6 +49,7 @@ LAYOUTS = (
     Layout("system_prompt_completion", ("system", "prompt", "completion"), parts=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("turn_row", ("role", "text", "turn"), parts=(("$role", ("text",)),), turn="turn"),
 )
+VARIANT_BYTES = 16_000_000  # records up to this length surely fit a variant
 # Names that other layouts give the canonical roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -92,9 +93,44 @@ def _turns(record: Column, layout: Layout) -> Column:
     if layout.array:
         items = F.try_variant_get(record, f"$.{layout.array}", f"array<struct<`{layout.role}`: string, `{layout.text}`: string>>")
         return F.transform(items, lambda x, i: F.struct(i.cast("long").alias("turn"), x[layout.role].alias("role"), x[layout.text].alias("text")))
+    return _parts(layout, get)
+
+
+def _long_json(value: Column, kind: str) -> Column:
+    return F.from_json(value, kind, {"maxStringLen": str(2**31 - 1)})
+
+
+def _holds(name: str):
+    return lambda item: F.map_contains_key(item, F.lit(name))
+
+
+def _long_paths(fields: Column, layouts: tuple[Layout, ...]) -> Column:
+    """Which of the layouts' field paths a record has, from its top-level fields as text."""
+    items = {x.array: _long_json(F.try_element_at(fields, F.lit(x.array)), "array<map<string,string>>") for x in layouts if x.array}
+    found = []
+    for p in sorted({p for x in layouts for p in x.paths}):
+        top, _, inner = p.partition("[].")
+        here = F.exists(items[top], _holds(inner)) if inner else F.map_contains_key(fields, F.lit(p))
+        found.append(F.when(here, F.lit(p)))
+    return F.array_compact(F.array(*found))
+
+
+def _long_turns(fields: Column, layout: Layout) -> Column:
+    """As ``_turns``, of a record too long for a variant."""
+    def get(path: str) -> Column:
+        return F.try_element_at(fields, F.lit(path))
+
+    if layout.array:
+        items = _long_json(get(layout.array), "array<map<string,string>>")
+        part = lambda x, name: F.try_element_at(x, F.lit(name))
+        return F.transform(items, lambda x, i: F.struct(i.cast("long").alias("turn"), part(x, layout.role).alias("role"), part(x, layout.text).alias("text")))
+    return _parts(layout, get)
+
+
+def _parts(layout: Layout, get) -> Column:
     turns = []
     for k, (role, texts) in enumerate(layout.parts):
-        number = F.try_variant_get(record, f"$.{layout.turn}", "bigint") if layout.turn else F.lit(k).cast("long")
+        number = get(layout.turn).cast("bigint") if layout.turn else F.lit(k).cast("long")
         said = get(role[1:]) if role[:1] == "$" else F.lit(role)
         # An empty optional part (an instruction's input) adds no line.
         text = get(texts[0]) if len(texts) == 1 else F.array_join(F.filter(F.array(*[get(t) for t in texts]), lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
@@ -105,19 +141,26 @@ def _turns(record: Column, layout: Layout) -> Column:
 def canonical_turns(records: DataFrame, record: str = "record", id_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(id, layout, turn, role, text): the turns of every JSON record.
 
-    A NULL text is empty, a NULL role too; other names of roles are made canonical. A
-    record that is no JSON, or of no known layout, gives one row with a NULL layout,
+    A NULL text is empty, a NULL role too; other layouts' names of roles are made canonical,
+    but a row that names its role itself keeps it. Texts of any length are taken whole. A record that is no JSON, or of no known layout, gives one row with a NULL layout,
     turn, role and text, so that it is not lost. Repeated records give repeated turns.
     """
-    parsed = records.select(F.col(f"`{id_col}`").alias("id"), F.try_parse_json(F.col(f"`{record}`")).alias("v"))
+    # A variant holds 16 MB at most; a longer record is read by its top-level fields as text.
+    parsed = records.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{record}`").alias("r")).withColumn("v", F.try_parse_json("r"))
+    long = F.when(F.col("v").isNull() & (F.octet_length("r") > VARIANT_BYTES), _long_json(F.col("r"), "map<string,string>"))
+    parsed = parsed.withColumn("f", long).drop("r")
     names = F.create_map(*[F.lit(x) for p in layouts for x in (p.fingerprint, p.name)])
-    marked = parsed.withColumn("layout", F.element_at(names, fingerprint(F.col("v"), layouts)))
+    long_print = F.sha2(F.array_join(_long_paths(F.col("f"), layouts), "\n").cast("binary"), 256)
+    print_ = F.when(F.col("v").isNotNull(), fingerprint(F.col("v"), layouts)).when(F.col("f").isNotNull(), long_print)
+    marked = parsed.withColumn("layout", F.element_at(names, print_))
     turns = F.lit(None).cast(TURNS)
     for x in layouts:
-        turns = F.when(F.col("layout") == x.name, _turns(F.col("v"), x)).otherwise(turns)
+        here = F.when(F.col("v").isNotNull(), _turns(F.col("v"), x).cast(TURNS)).otherwise(_long_turns(F.col("f"), x).cast(TURNS))
+        turns = F.when(F.col("layout") == x.name, here).otherwise(turns)
     rows = marked.select("id", "layout", F.explode_outer(turns.cast(TURNS)).alias("t"))
     role = F.coalesce("t.role", F.lit(""))
-    renamed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in ROLE_NAMES.items() for x in p]), role), role)
+    other = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in ROLE_NAMES.items() for x in p]), role), role)
+    renamed = F.when(F.col("layout").isin(*[x.name for x in layouts if any(r[:1] == "$" for r, _ in x.parts)]), role).otherwise(other)
     full = F.col("layout").isNotNull()
     return rows.select(F.col("id").alias(id_col), "layout", "t.turn", F.when(full, renamed).alias("role"), F.when(full, F.coalesce("t.text", F.lit(""))).alias("text"))
 

@@ -12,6 +12,7 @@ pass over the documents for each block.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbascope.llm.common import need, text_runs, worker_cache
+from verbascope.llm.common import kept, need, text_runs, worker_cache
 
 Q = 8
+SHORT, SHORT_Q = 32, 5  # items under 32 letters have a tenth of them as edits by grams of five
+HITS_AT_ONCE = 1_000_000
 EDIT_SHARE = 0.1
 BLOCK_CHARS = 1_000_000
 ALIGNED_AT_ONCE = 256
@@ -32,6 +35,7 @@ BITS = 22
 STEP, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
+@kept
 def fold_table() -> np.ndarray:
     """Code point to the code of its lower-case letter or digit, 0 for all else."""
     table = np.zeros(0x110000, dtype=np.uint32)
@@ -113,16 +117,18 @@ class Passages:
         real[real] = self.hashes[k[real]] == h[spot[real]]
         spot, k = spot[real], k[real]
         n = self.first[k + 1] - self.first[k]
-        row = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[row], np.repeat(spot, n) - self.place[row]
-        text = np.searchsorted(text_end, np.repeat(spot, n), side="right")
-        inside = np.repeat(spot, n) + self.q <= text_end[text]
-        item, diagonal, text = item[inside], diagonal[inside], text[inside]
-        band = diagonal // self.half[item]
         low = -int(self.size.max(initial=0)) - 2
         wide = len(letters) - low + 2
-        key = (text * len(self.size) + item) * wide + (band - low)
-        found, count = np.unique(np.r_[key, key - 1], return_counts=True)
+        found, count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        # A gram that repeats in text and item has hits without end; they are counted a bounded number at a time.
+        edge = np.searchsorted(np.cumsum(n), np.arange(HITS_AT_ONCE, int(n.sum()) + HITS_AT_ONCE, HITS_AT_ONCE))
+        for first, last in itertools.pairwise(np.unique(np.r_[0, edge, len(n)]).tolist()):
+            held.append(self._bands(spot[first:last], k[first:last], n[first:last], text_end, low, wide))
+            if sum(len(f) for f, _ in held) > HITS_AT_ONCE or last == len(n):
+                keys, times = (np.concatenate(v) for v in zip((found, count), *held))
+                found, at_ = np.unique(keys, return_inverse=True)
+                count, held = np.bincount(at_, times, minlength=len(found)).astype(np.int64), []
         pair, band = found // wide, found % wide + low
         text, item = pair // len(self.size), pair % len(self.size)
         good = count >= self.least[item]
@@ -138,6 +144,16 @@ class Passages:
                     best[t, i] = min(best.get((t, i), (e, 1 << 62, 0)), (e, int(at[a]) - shift, int(at[z - 1]) + 1 - shift))
         return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
+    def _bands(self, spot, k, n, text_end, low: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """(band key, hits) of the grams at these spots; every hit counts in two overlapping bands."""
+        row = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, place = self.item[row], np.repeat(spot, n)
+        text = np.searchsorted(text_end, place, side="right")
+        inside = place + self.q <= text_end[text]
+        band = (place - self.place[row])[inside] // self.half[item[inside]]
+        key = (text[inside] * len(self.size) + item[inside]) * wide + (band - low)
+        return np.unique(np.r_[key, key - 1], return_counts=True)
+
     def align(self, letters, start, end, item, band) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each item to any stretch of its text's band, and where that stretch ends.
 
@@ -169,6 +185,24 @@ class Passages:
         return edits, stop
 
 
+class PassageIndex:
+    """The items of a block, short ones by shorter grams.
+
+    The lemma bounds e edits of m letters by m - q + 1 - q e common grams; that leaves
+    items under ``SHORT`` letters fewer edits than a tenth unless their grams are shorter.
+    """
+
+    def __init__(self, items: list[str], budget: Budget):
+        fold = fold_table()
+        size = [int(np.count_nonzero(fold[codes(t)])) for t in items]
+        short = [n for n, m in enumerate(size) if budget.q <= m < SHORT and budget.q == Q]
+        long = [n for n, m in enumerate(size) if not (budget.q <= m < SHORT and budget.q == Q)]
+        self.parts = [(own, Passages([items[n] for n in own], b)) for own, b in ((long, budget), (short, Budget(SHORT_Q, budget.share))) if own]
+
+    def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+        return sorted((t, own[i], e, a, z) for own, p in self.parts for t, i, e, a, z in p.find(texts))
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, q: int, block_chars: int) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of the items, in blocks of about ``block_chars`` together.
 
@@ -182,14 +216,14 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, q: int, block_
         yield [r.id for r in some], [r.text for r in some]
 
 
-def _passages(texts: list[str], budget: Budget) -> Passages:
+def _passages(texts: list[str], budget: Budget) -> PassageIndex:
     """The index of a block, built once in a Python worker."""
-    kept = worker_cache("passages")
+    built = worker_cache("passages")
     key = hash((tuple(texts), budget))
-    if key not in kept:
-        kept.clear()
-        kept[key] = Passages(texts, budget)
-    return kept[key]
+    if key not in built:
+        built.clear()
+        built[key] = PassageIndex(texts, budget)
+    return built[key]
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, budget: Budget = Budget(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -33,8 +33,9 @@ POINTS_PER_ROW = 1024
 
 @dataclass
 class Mix:
-    """rows: the documents with _size, _start, _sid, _source_size, _target; slots: the
-    schedule (_sid, slot, source_rank, epoch, block, lo, hi) over words of the source's stream."""
+    """rows: the documents (each in the struct _doc, so that no column of theirs can clash)
+    with _size, _start, _sid, _source_size, _target; slots: the schedule (_sid, slot,
+    source_rank, epoch, block, lo, hi) over words of the source's stream."""
 
     rows: DataFrame
     slots: DataFrame
@@ -104,30 +105,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     Sources in code-point order, NULL last, take the weights in turn. A document's
     size is its number of words (runs of other than ASCII white space), 0 for a NULL
     text. A NULL source is a source; NULL ids and repeated rows are documents of
-    their own, ordered by size among equal ids. Columns that begin with an underscore
-    are replaced; an empty table gives no slots.
+    their own, ordered by size among equal ids and by a hash of their text among NULL
+    ones. Columns may have any names; ``taken_words`` leaves out those that begin with
+    an underscore. An empty table gives no slots.
     """
     spark = docs.sparkSession
-    clean = docs.select(*[c for c in docs.columns if not c.startswith("_")])
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = clean.withColumns(
+    name = lambda c: F.col(f"`{c}`")
+    held = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("_doc"), name(id_col).alias("_id"), name(text_col).alias("_text"), name(source_col).alias("_source"))
+    # Rows without an id are told apart by their texts, or they would share one bucket.
+    key = F.md5(F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("_text").cast("string"))))
+    rows = held.withColumns(
         {
-            "_size": word_count(text_col),
-            "_skey": F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), source_col)),
+            "_size": word_count("_text"),
+            "_skey": F.when(F.col("_source").isNull(), "n").otherwise(F.concat(F.lit("s"), "_source")),
             "_hash": key,
             "_bucket": F.conv(F.substring(key, 1, 3), 16, 10).cast("int"),
         }
     )
-    buckets = materialise(rows.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_words"), F.first(source_col).alias("_source")), "mix-buckets")
+    buckets = materialise(rows.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_words"), F.first("_source").alias("_source")), "mix-buckets")
     totals = buckets.groupBy("_skey").agg(F.first("_source").alias("_source"), F.sum("_words").alias("_size"))
     sources = materialise(source_targets(totals, weights, max_epochs), "mix-sources")
     slots, n = schedule(spark, sources, block)
     before = Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = buckets.join(sources.select("_skey", "_sid", F.col("_size").alias("_source_size"), "_target"), "_skey")
     carry = carry.select("_skey", "_bucket", "_sid", "_source_size", "_target", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_carry"))
-    inside = Window.partitionBy("_skey", "_bucket").orderBy("_hash", id_col, "_size", F.xxhash64(text_col))
-    placed = rows.withColumns({"_row": F.row_number().over(inside), "_start": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")})
-    placed = placed.join(carry, ["_skey", "_bucket"]).withColumn("_start", F.col("_start") + F.col("_carry")).drop("_carry", "_hash")
+    inside = Window.partitionBy("_skey", "_bucket").orderBy("_hash", "_id", "_size", F.xxhash64("_text"))
+    placed = rows.drop("_source").withColumns({"_row": F.row_number().over(inside), "_start": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")})
+    placed = placed.join(carry, ["_skey", "_bucket"]).withColumn("_start", F.col("_start") + F.col("_carry")).drop("_carry", "_hash", "_id", "_text")
     return Mix(placed, slots, n)
 
 
@@ -142,15 +146,20 @@ def taken_words(m: Mix, block: int = BLOCK_WORDS) -> DataFrame:
     from_, to = F.greatest("_start", "lo"), F.least(F.col("_start") + F.col("_size"), "hi")
     found = piece.join(m.slots.select("_skey", "block", "lo", "hi"), ["_skey", "block"]).withColumn("_words", F.greatest(to - from_, F.lit(0)))
     words = found.groupBy("_skey", "_bucket", "_row").agg(F.sum("_words").alias("_words"))
-    return m.rows.join(words, ["_skey", "_bucket", "_row"], "left").withColumn("_words", F.coalesce("_words", F.lit(0)))
+    out = m.rows.join(words, ["_skey", "_bucket", "_row"], "left").withColumn("_words", F.coalesce("_words", F.lit(0)))
+    own = [F.col("_doc").getField(c).alias(c) for c in m.rows.schema["_doc"].dataType.names if not c.startswith("_")]
+    return out.select(*own, *[c for c in out.columns if c != "_doc"])
 
 
 def mixed_documents(m: Mix, columns: list[str], block: int = BLOCK_WORDS) -> DataFrame:
-    """Whole documents, once for every slot that takes their first word (an empty one: the place of it)."""
+    """Whole documents, once for every slot that takes their first word (an empty one: the place of it).
+
+    Their columns come back as they were, whatever their names.
+    """
     rows = m.rows.withColumn("block", F.least(F.expr(f"_start div {block}"), F.expr(f"greatest(_source_size - 1, 0) div {block}")))
     times = m.slots.select("_skey", "block", "lo", "hi", "slot")
     inside = (F.col("_start") < F.col("hi")) | (F.col("_size") == 0) & (F.col("_start") == F.col("hi"))
-    return rows.join(times, ["_skey", "block"]).where(inside).select(*columns)
+    return rows.join(times, ["_skey", "block"]).where(inside).select(*[F.col("_doc").getField(c).alias(c) for c in columns])
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
