@@ -148,7 +148,15 @@ def _(t):
     return ev.spaced_times(_mids(t)).select("file_id", F.round("ts", 6).alias("ts"))
 
 
-@query("frame_plan")
+@query(
+    "frame_plan",
+    f"""WITH RECURSIVE {SPACED}, kept AS (SELECT file_id, ts, row_number() OVER (PARTITION BY file_id ORDER BY ts) AS n FROM r WHERE keep),
+ picked AS (SELECT file_id, list(ts ORDER BY ts) AS ts FROM kept WHERE n <= 10 GROUP BY file_id),
+ base AS (SELECT file_id, max(end_s) AS duration, coalesce(any_value(picked.ts), CAST([] AS DOUBLE[])) AS chosen FROM d_segments LEFT JOIN picked USING (file_id) GROUP BY file_id),
+ wanted AS (SELECT file_id, chosen, CASE WHEN duration > 0 THEN list_transform(range(1, 16 - len(chosen)), lambda i: [duration / (16 - len(chosen)) * i]) ELSE CAST([] AS DOUBLE[][]) END AS fills FROM base),
+ merged AS (SELECT file_id, list_sort(list_reduce(list_prepend(chosen, fills), lambda a, x: CASE WHEN coalesce(list_bool_or(list_transform(a, lambda y: abs(y - x[1]) < 5)), false) THEN a ELSE list_concat(a, x) END))[1:15] AS ts FROM wanted)
+SELECT file_id, CAST(unnest(range(0, len(ts))) AS INT) AS slot, round(unnest(ts), 6) AS ts FROM merged""",
+)
 def _(t):
     dur = t.segments.groupBy("file_id").agg(F.max("end_s").alias("duration"))
     return ev.frame_plan(_mids(t), dur).select("file_id", "slot", F.round("ts", 6).alias("ts"))
