@@ -11,6 +11,8 @@ from verbascope import schemas
 TRUTH_SUFFIX = "_ground_truth.txt"
 TRANSCRIPT_SUFFIX = "_transcript.json"
 PLAIN_SUFFIX = "_asr.txt"
+# A quote inside a cell is doubled, and blanks at a cell's ends are its own.
+CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "lineSep": "\n"}
 
 
 def read_transcripts(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
@@ -46,7 +48,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_examples(spark: SparkSession, path: str) -> DataFrame:
+def read_examples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSONL examples; blank lines are skipped, malformed ones kept in ``_raw``."""
     return (
         spark.read.schema(schemas.EXAMPLE_JSON).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").json(path)
@@ -60,15 +62,15 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_results(per_file: DataFrame, per_group: DataFrame, summary: DataFrame, path: str) -> None:
-    """Per-file CSV, per-group CSV and the nested summary as JSON."""
-    per_file.write.mode("overwrite").option("header", True).csv(f"{path}/per_file")
-    per_group.write.mode("overwrite").option("header", True).csv(f"{path}/per_group")
+    """Per-file CSV, per-group CSV and the nested summary as JSON; ``read_metadata_csv`` reads the CSV back."""
+    per_file.write.mode("overwrite").options(header=True, **CSV).csv(f"{path}/per_file")
+    per_group.write.mode("overwrite").options(header=True, **CSV).csv(f"{path}/per_group")
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 
 def read_metadata_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text; ``functions.text.typed_cell`` types them one by one."""
-    return spark.read.option("header", True).csv(path)
+    """All cells as text; ``functions.text.typed_cell`` types them one by one. Cells may hold line feeds."""
+    return spark.read.options(header=True, multiLine=True, **CSV).csv(path)
 
 
 def manifest(spark: SparkSession, root: str, curated: DataFrame, truth: str = TRUTH_SUFFIX, transcript: str = TRANSCRIPT_SUFFIX, plain: str = PLAIN_SUFFIX) -> DataFrame:
