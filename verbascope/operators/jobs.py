@@ -78,7 +78,7 @@ def daily_counts(jobs: DataFrame, now: DataFrame, days: int = 7, last: int | Non
 def bar_heights(daily: DataFrame) -> DataFrame:
     """Counts as a percentage of the peak day, at least 2 (a calendar, so few rows)."""
     peak = F.greatest(F.max("count").over(Window.partitionBy(F.lit(1))), F.lit(1))
-    return daily.withColumn("height_pct", F.greatest(F.lit(2), F.round(F.col("count") / peak * 100).cast("int")))
+    return daily.withColumn("height_pct", F.greatest(F.lit(2), F.round(F.col("count") * 100 / peak).cast("int")))
 
 
 def _filled() -> Column:
