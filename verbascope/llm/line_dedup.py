@@ -3,8 +3,10 @@
 The index of lines is a set of runs, each a Parquet folder sorted by line hash with
 the number of documents and the largest document id that hold the line. A batch of
 documents merge-anti-joins the runs, which tells its new lines from the known ones,
-and adds a run of its own. When a level holds ``fanout`` runs they are merged into
-one run of the next level, so a line is rewritten a logarithmic number of times.
+and adds a run of its own: new lines are entries, known ones only updates of counts.
+The runs' entries are the index, each line once, and updates are joined to them. When
+a level holds ``fanout`` runs they are merged into one run of the next level, so a line
+is rewritten a logarithmic number of times.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ class LineRuns:
         self.written = 0
 
     def rows(self) -> DataFrame | None:
-        """(line, docs, last, fresh) of all runs; ``fresh`` marks each line once."""
+        """(line, docs, last, fresh) of all runs; ``fresh`` marks a line's one entry, other rows update its count."""
         runs = [r for level in self.levels for r in level]
         return self.spark.read.parquet(*runs) if runs else None
 
@@ -86,8 +88,12 @@ class LineRuns:
         self._write(own.join(known.hint("merge"), "line", "left").select("line", "docs", "last", F.coalesce("_seen", F.lit(True)).alias("fresh")), 0)
 
     def shared(self, min_docs: int) -> DataFrame:
-        """(line, last) of the lines that at least ``min_docs`` documents hold."""
-        return merge(self.rows()).where(F.col("docs") >= min_docs).select("line", "last")
+        """(line, last) of the lines that at least ``min_docs`` documents hold: entries with their updates."""
+        rows = self.rows()
+        more = rows.where("NOT fresh").groupBy("line").agg(F.sum("docs").alias("_docs"), F.max("last").alias("_last"))
+        both = rows.where("fresh").select("line", "docs", "last").join(more.hint("merge"), "line", "left")
+        docs = F.col("docs") + F.coalesce("_docs", F.lit(0))
+        return both.where(docs >= min_docs).select("line", F.greatest("last", "_last").alias("last"))
 
 
 def merge(rows: DataFrame) -> DataFrame:
