@@ -176,7 +176,7 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Additive:
-    """Fit on labelled rows that are not held out, ``max_rows`` of them at most (those of the smallest hash of id).
+    """Fit on labelled rows that are not held out, of ``max_rows`` ids and rows at most (those of the smallest hash of id).
 
     Several labels of an id count as their majority, an even vote and NULL as none.
     """
@@ -187,9 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series(list(_features(texts)))
 
-    rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~is_held_out(F.col("id")))
-    known = rows.select("id", features("text").alias("x")).join(vote, "id")
-    drawn = known.orderBy(F.xxhash64("id"), "id").limit(max_rows).select("x", "label").collect()
+    # The labels are cut to the sample first, so that only its texts are read closely.
+    sample = vote.where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(max_rows).select(F.col("id").alias("_k"), "label")
+    rows = need(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = rows.join(F.broadcast(sample), F.col("id") == F.col("_k"))
+    drawn = known.select(F.xxhash64("id").alias("h"), "id", features("text").alias("x"), "label").orderBy("h", "id").limit(max_rows).collect()
     x = np.array([r.x for r in drawn], dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.label for r in drawn], dtype=np.float64))
 
