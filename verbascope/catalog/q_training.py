@@ -9,6 +9,7 @@ from verbascope.catalog.registry import query
 from verbascope.functions import answers, text as tx
 from verbascope.operators import matching, training as tr, transcripts
 from verbascope.sources import lines as src, transcripts as so
+from verbascope.sources.screen_text import escape_xml
 
 VERDICT = """CASE WHEN is_negative THEN 'keep' WHEN error_found = '' OR term = '' THEN 'empty' WHEN trim(lower(error_found), '.,!?''" ') = trim(lower(term), '.,!?''" ') THEN 'no_change'
  WHEN lower(replace(replace(error_found, ',', ''), '.', '')) = lower(replace(replace(term, ',', ''), '.', '')) THEN 'punctuation_only' WHEN length(error_found) < 2 OR length(term) < 2 THEN 'too_short'
@@ -366,18 +367,38 @@ def _(t):
     return src.ordered_text(raw, "conv_id", "turn", src.prefixed_line(F.col("value")))
 
 
-@query("pipe_tokens", f"SELECT file_id, string_agg('(' || word || '.', ' ' ORDER BY segment_id * 100000 + pos) AS text FROM d_words WHERE NOT contains(word, '|') GROUP BY file_id")
+PIPED = "SELECT file_id, segment_id * 100000 + pos AS o, word FROM d_words UNION ALL SELECT file_id, segment_id * 100000 - 1, 'a|b' FROM d_words WHERE pos = 0 UNION ALL SELECT file_id, segment_id * 100000 - 2, 'token' FROM d_words WHERE pos = 0"
+
+
+@query(
+    "pipe_tokens",
+    f"SELECT file_id, string_agg(f[6] || f[1] || f[5], ' ' ORDER BY o) AS text FROM (SELECT file_id, o, string_split(word || '|a|b|c|.|(', '|') AS f FROM ({PIPED}) WHERE word <> 'token') GROUP BY file_id",
+)
 def _(t):
-    w = t.words.where(~F.contains("word", F.lit("|")))
-    raw = w.select("file_id", (F.col("segment_id") * 100000 + F.col("pos")).alias("o"), F.concat(F.col("word"), F.lit("|a|b|c|.|(")).alias("value"))
+    """Every word, one that holds the mark (its fields move on, and are read as they then lie) and one of a header line, which is skipped."""
+    o = F.col("segment_id") * 100000
+    odd = t.words.where("pos = 0").select("file_id", F.explode(F.array(F.struct((o - 1).alias("o"), F.lit("a|b").alias("word")), F.struct((o - 2).alias("o"), F.lit("token").alias("word")))).alias("x")).select("file_id", "x.*")
+    w = t.words.select("file_id", (o + F.col("pos")).alias("o"), "word").unionByName(odd)
+    raw = w.select("file_id", "o", F.concat(F.col("word"), F.lit("|a|b|c|.|(")).alias("value"))
     return src.ordered_text(raw, "file_id", "o", src.pipe_token(F.col("value")))
 
 
-@query("subtitle_texts", rf"SELECT conv_id, string_agg(x, ' ' ORDER BY turn) AS text FROM (SELECT * FROM ({UTT}) WHERE x <> '' AND NOT regexp_matches(x, '<[^>]+>|align:|position:|line:|^\d+$|^\d\d:\d\d:\d\d')) GROUP BY conv_id")
+CUES = f"""SELECT conv_id, turn * 4 AS o, x FROM ({UTT})
+ UNION ALL SELECT u.conv_id, u.turn * 4 + v.k, v.x FROM (SELECT DISTINCT conv_id, turn FROM ({UTT})) u, (VALUES (1, 'say <i>this</i> align:end'), (2, '42'), (3, '00:00:05 on the clock')) AS v(k, x)"""
+
+
+@query(
+    "subtitle_texts",
+    rf"""WITH c AS (SELECT conv_id, o, trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '(align|position|line):.*$', '')) AS y FROM ({CUES}))
+SELECT conv_id, string_agg(y, ' ' ORDER BY o) AS text FROM (SELECT *, lag(y) OVER (PARTITION BY conv_id ORDER BY o) AS p FROM c WHERE y <> '') WHERE y IS DISTINCT FROM p GROUP BY conv_id""",
+)
 def _(t):
+    """Every line of the conversations, and after each a line with a tag and a setting, a number and a clock time."""
+    odd = [(1, "say <i>this</i> align:end"), (2, "42"), (3, "00:00:05 on the clock")]
+    lines = _lines(t).select("conv_id", (F.col("turn") * 4).alias("o"), "x")
+    extra = _lines(t).select("conv_id", "turn").distinct().select("conv_id", F.explode(F.array(*[F.struct((F.col("turn") * 4 + k).alias("o"), F.lit(x).alias("x")) for k, x in odd])).alias("e")).select("conv_id", "e.*")
     cue = F.concat(F.lit("1\n00:00:01.000 --> 00:00:02.000 align:start\n<c>"), "x", F.lit("</c>\n"), "x", F.lit("\n\n"))
-    u = _lines(t).where(~F.col("x").rlike(r"<[^>]+>|align:|position:|line:|^\d+$|^\d\d:\d\d:\d\d") & (F.col("x") != ""))
-    files = u.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda a: a["c"]), "")).alias("vtt"))
+    files = lines.unionByName(extra).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", cue.alias("c")))), lambda a: a["c"]), "")).alias("vtt"))
     return src.subtitle_text(files, "conv_id", "vtt")
 
 
@@ -386,10 +407,12 @@ def _(t):
     return t.documents.select("doc_id", src.captions_text(F.split("text", "\n")).alias("text"))
 
 
-@query("word_xml_texts", "SELECT file_id, string_agg(word, ' ' ORDER BY segment_id * 100000 + pos) AS text FROM d_words WHERE NOT regexp_matches(word, '[<>&]') GROUP BY file_id")
+@query("word_xml_texts", "SELECT file_id, string_agg(word, ' ' ORDER BY segment_id * 100000 + pos) AS text FROM (SELECT file_id, segment_id, pos, word FROM d_words UNION ALL SELECT file_id, segment_id, -1, '<b>&amp;\"Q' FROM d_words WHERE pos = 0) GROUP BY file_id")
 def _(t):
-    w = t.words.where(~F.col("word").rlike("[<>&]"))
-    tag = F.concat(F.lit('<w id="'), F.col("pos").cast("string"), F.lit('">'), "word", F.lit("</w>"))
+    """Every word, and before each segment one of marks that are written as entities."""
+    odd = t.words.where("pos = 0").withColumn("word", F.lit('<b>&amp;"Q')).withColumn("pos", F.lit(-1))
+    w = t.words.unionByName(odd)
+    tag = F.concat(F.lit('<w id="'), F.col("pos").cast("string"), F.lit('">'), escape_xml(F.col("word")), F.lit("</w>"))
     per = w.groupBy("file_id", "segment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", tag.alias("x")))), lambda a: a["x"]), "\n").alias("xml"))
     words = per.select("file_id", "segment_id", F.array_join(src.word_xml_words(F.col("xml")), " ").alias("v"))
     return src.ordered_text(words, "file_id", "segment_id", F.col("v"))

@@ -10,6 +10,10 @@ from verbascope.functions.text import _c, strip_ws, tokens
 SUSPECT = "struct<word:string,likely_correct:string,reason:string,needs_avsr:boolean,needs_ocr:boolean>"
 
 
+# Fixed format: a flat object with a list of suspects, as it stands inside prose.
+SUSPECTS_IN_PROSE = r'(?s)\{[^{}]*"suspects"[^{}]*\[.*?\][^{}]*\}'
+
+
 def _json(col: Column, ddl: str) -> Column:
     return F.from_json(col, ddl, {"mode": "PERMISSIVE"})
 
@@ -21,7 +25,7 @@ def detection_suspects(response) -> Column:
     bare = strip_ws(F.regexp_replace(raw, "```(?:json)?", ""))
     ddl = f"suspects array<{SUSPECT}>, errors array<{SUSPECT}>"
     whole = _json(F.when(bare.startswith("{"), bare), ddl)
-    inner = _json(F.nullif(F.regexp_extract(raw, r'(?s)\{[^{}]*"suspects"[^{}]*\[.*?\][^{}]*\}', 0), F.lit("")), ddl)
+    inner = _json(F.nullif(F.regexp_extract(raw, SUSPECTS_IN_PROSE, 0), F.lit("")), ddl)
     found = F.coalesce(whole["suspects"], whole["errors"], inner["suspects"])
     cleaned = F.transform(
         found,

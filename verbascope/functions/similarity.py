@@ -384,6 +384,17 @@ def metaphone_udf(word: pd.Series) -> pd.Series:
 # --------------------------------------------------------------------------
 
 ACCEPT_PLAUSIBILITY = 0.65
+# Fixed output format: the reasons of a verdict, tag and figures.
+REASONS = {
+    "phonetic": "phonetic:%s≈%s(%.2f)",
+    "edit_sim": "edit_sim:%.2f",
+    "len_ratio": "len_ratio:%.2f",
+    "char_overlap": "char_overlap:%.2f",
+    "prefix": "substring_penalty:diff=%d",
+    "tiny": "tiny_word_blocked:len=%d",
+    "three": "very_short_word:len=%d,edit=%d",
+    "four": "short_word:len=%d,edit=%d,ratio=%.2f",
+}
 
 
 def plausibility(error: Column, term: Column, error_code: Column | None = None, term_code: Column | None = None) -> Column:
@@ -410,7 +421,7 @@ def plausibility(error: Column, term: Column, error_code: Column | None = None,
             F.lit(1.0) - F.levenshtein(error_code, term_code) / F.greatest(longest, F.lit(1)),
         ).otherwise(F.lit(0.0))
         phonetic_reason = F.when(
-            psim > 0.3, F.format_string("phonetic:%s≈%s(%.2f)", error_code, term_code, psim)
+            psim > 0.3, F.format_string(REASONS["phonetic"], error_code, term_code, psim)
         )
     else:
         psim = F.lit(0.0)
@@ -425,9 +436,9 @@ def plausibility(error: Column, term: Column, error_code: Column | None = None,
     reasons = F.array_compact(
         F.array(
             phonetic_reason,
-            F.when(esim > 0.4, F.format_string("edit_sim:%.2f", esim)),
-            F.when(ratio >= 0.65, F.format_string("len_ratio:%.2f", ratio)),
-            F.when(overlap >= 0.4, F.format_string("char_overlap:%.2f", overlap)),
+            F.when(esim > 0.4, F.format_string(REASONS["edit_sim"], esim)),
+            F.when(ratio >= 0.65, F.format_string(REASONS["len_ratio"], ratio)),
+            F.when(overlap >= 0.4, F.format_string(REASONS["char_overlap"], overlap)),
         )
     )
 
@@ -439,12 +450,12 @@ def plausibility(error: Column, term: Column, error_code: Column | None = None,
     return (
         F.when((le == 0) | (lt == 0), verdict(0.0))
         .when(e == t, verdict(1.0, F.lit("exact_match")))
-        .when((t.startswith(e) | e.startswith(t)) & (gap > 1), verdict(0.05, F.format_string("substring_penalty:diff=%d", gap)))
-        .when(le <= 2, verdict(0.05, F.format_string("tiny_word_blocked:len=%d", le)))
-        .when((le == 3) & (dist > 0) & ~one_more, verdict(0.05, F.format_string("very_short_word:len=%d,edit=%d", le, dist)))
+        .when((t.startswith(e) | e.startswith(t)) & (gap > 1), verdict(0.05, F.format_string(REASONS["prefix"], gap)))
+        .when(le <= 2, verdict(0.05, F.format_string(REASONS["tiny"], le)))
+        .when((le == 3) & (dist > 0) & ~one_more, verdict(0.05, F.format_string(REASONS["three"], le, dist)))
         .when(
             (le == 4) & ((dist > 1) | (ratio < 0.75)),
-            verdict(0.1, F.format_string("short_word:len=%d,edit=%d,ratio=%.2f", le, dist, ratio)),
+            verdict(0.1, F.format_string(REASONS["four"], le, dist, ratio)),
         )
         .otherwise(F.struct(score.alias("score"), reasons.alias("reasons")))
     )

@@ -279,25 +279,27 @@ def matches_search(query: str, *cols) -> Column:
     return F.contains(hay, F.lit(query.lower()))
 
 
+# The evidence lines, by what is known of a face.
+HINT_LINES = {
+    "none": "No face detected in video segment",
+    "words": "Visual speech suggests: '%s' (confidence: %.2f)",
+    "speaking": "Speaker detected and actively speaking (confidence: %.2f)",
+    "quiet": "Face detected but low speaking activity (confidence: %.2f)",
+    "faces": " [active speaker from %d faces]",
+}
+
+
 def speaking_hint(face, confidence, transcript, n_faces) -> Column:
-    """The evidence line for a lip hint."""
-    conf = F.format_string("%.2f", _c(confidence))
-    suffix = F.when(
-        _c(n_faces) > 1,
-        F.format_string(" [active speaker from %d faces]", _c(n_faces)),
-    ).otherwise(F.lit(""))
-    body = (
-        F.when(
-            F.coalesce(_c(transcript), F.lit("")) != "",
-            F.concat(F.lit("Visual speech suggests: '"), _c(transcript), F.lit("' (confidence: "), conf, F.lit(")")),
-        )
-        .when(
-            _c(confidence) > 0.5,
-            F.concat(F.lit("Speaker detected and actively speaking (confidence: "), conf, F.lit(")")),
-        )
-        .otherwise(F.concat(F.lit("Face detected but low speaking activity (confidence: "), conf, F.lit(")")))
-    )
-    return F.when(~_c(face), F.lit("No face detected in video segment")).otherwise(F.concat(body, suffix))
+    """The evidence line for a lip hint, out of the table of lines by the kind of evidence."""
+    sure, said = _c(confidence), F.nullif(_c(transcript), F.lit(""))
+    lines = F.create_map(
+        F.lit("words"), F.format_string(HINT_LINES["words"], F.coalesce(said, F.lit("")), sure),
+        F.lit("speaking"), F.format_string(HINT_LINES["speaking"], sure),
+        F.lit("quiet"), F.format_string(HINT_LINES["quiet"], sure),
+    )
+    kind = F.coalesce(F.when(said.isNotNull(), "words"), F.when(sure > 0.5, "speaking"), F.lit("quiet"))
+    many = F.coalesce(F.when(_c(n_faces) > 1, F.format_string(HINT_LINES["faces"], _c(n_faces))), F.lit(""))
+    return F.when(~_c(face), F.lit(HINT_LINES["none"])).otherwise(F.concat(lines[kind], many))
 
 
 def local_time(ts, zone: str = "Asia/Colombo", pattern: str = "dd MMM yyyy, HH:mm") -> Column:
