@@ -298,9 +298,19 @@ def _(t):
 @query("match_documents")
 def _(t):
     """Noisy whole documents matched to their clean texts without an id."""
-    d = t.documents.select(F.col("doc_id").alias("ref_id"), "text")
+    return matching.match_texts(*_noisy_documents(t)).withColumn("wer", F.round("wer", 6))
+
+
+def _noisy_documents(t):
     h = t.documents.select(F.col("doc_id").alias("hyp_id"), tr.inject_errors(F.col("text"), F.col("doc_id"), 0.1).alias("text"))
-    return matching.match_texts(h, d).withColumn("wer", F.round("wer", 6))
+    return h, t.documents.select(F.col("doc_id").alias("ref_id"), "text")
+
+
+@query("unmatched_documents")
+def _(t):
+    """Noisy documents no pass found a text for, and why."""
+    h, r = _noisy_documents(t)
+    return matching.unmatched_texts(h, matching.match_texts(h, r))
 
 
 @query(
