@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbascope.llm.common import word_count
@@ -33,13 +33,18 @@ POINTS_PER_ROW = 1024
 
 @dataclass
 class Mix:
-    """rows: the documents (each in the struct _doc, so that no column of theirs can clash)
-    with _size, _start, _sid, _source_size, _target; slots: the schedule (_sid, slot,
-    source_rank, epoch, block, lo, hi) over words of the source's stream."""
+    """rows: the documents, their columns numbered _c0, _c1 .. so that none can clash, with
+    _size, _start, _sid, _source_size, _target; slots: the schedule (_sid, slot, source_rank,
+    epoch, block, lo, hi) over words of the source's stream; columns: the names by number."""
 
     rows: DataFrame
     slots: DataFrame
     n_slots: int
+    columns: list[str]
+
+    def own(self, columns: list[str]) -> list[Column]:
+        """Columns of the documents, by their names."""
+        return [F.col(f"_c{self.columns.index(c)}").alias(c) for c in columns]
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -110,29 +115,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int =
     an underscore. An empty table gives no slots.
     """
     spark = docs.sparkSession
-    name = lambda c: F.col(f"`{c}`")
-    held = docs.select(F.struct(*[name(c) for c in docs.columns]).alias("_doc"), name(id_col).alias("_id"), name(text_col).alias("_text"), name(source_col).alias("_source"))
+    at = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    held = docs.toDF(*at.values())
+    id_, text, source = at[id_col], at[text_col], at[source_col]
     # Rows without an id are told apart by their texts, or they would share one bucket.
-    key = F.md5(F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("text:"), F.xxhash64("_text").cast("string"))))
+    key = F.md5(F.coalesce(F.col(id_).cast("string"), F.concat(F.lit("text:"), F.xxhash64(text).cast("string"))))
     rows = held.withColumns(
         {
-            "_size": word_count("_text"),
-            "_skey": F.when(F.col("_source").isNull(), "n").otherwise(F.concat(F.lit("s"), "_source")),
+            "_size": word_count(text),
+            "_skey": F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), source)),
             "_hash": key,
             "_bucket": F.conv(F.substring(key, 1, 3), 16, 10).cast("int"),
         }
     )
-    buckets = materialise(rows.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_words"), F.first("_source").alias("_source")), "mix-buckets")
+    buckets = materialise(rows.groupBy("_skey", "_bucket").agg(F.sum("_size").alias("_words"), F.first(source).alias("_source")), "mix-buckets")
     totals = buckets.groupBy("_skey").agg(F.first("_source").alias("_source"), F.sum("_words").alias("_size"))
     sources = materialise(source_targets(totals, weights, max_epochs), "mix-sources")
     slots, n = schedule(spark, sources, block)
     before = Window.partitionBy("_skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = buckets.join(sources.select("_skey", "_sid", F.col("_size").alias("_source_size"), "_target"), "_skey")
     carry = carry.select("_skey", "_bucket", "_sid", "_source_size", "_target", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_carry"))
-    inside = Window.partitionBy("_skey", "_bucket").orderBy("_hash", "_id", "_size", F.xxhash64("_text"))
-    placed = rows.drop("_source").withColumns({"_row": F.row_number().over(inside), "_start": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")})
-    placed = placed.join(carry, ["_skey", "_bucket"]).withColumn("_start", F.col("_start") + F.col("_carry")).drop("_carry", "_hash", "_id", "_text")
-    return Mix(placed, slots, n)
+    inside = Window.partitionBy("_skey", "_bucket").orderBy("_hash", id_, "_size", F.xxhash64(text))
+    placed = rows.withColumns({"_row": F.row_number().over(inside), "_start": F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size")})
+    placed = placed.join(carry, ["_skey", "_bucket"]).withColumn("_start", F.col("_start") + F.col("_carry")).drop("_carry", "_hash")
+    return Mix(placed, slots, n, list(at))
 
 
 def taken_words(m: Mix, block: int = BLOCK_WORDS) -> DataFrame:
@@ -147,8 +153,7 @@ def taken_words(m: Mix, block: int = BLOCK_WORDS) -> DataFrame:
     found = piece.join(m.slots.select("_skey", "block", "lo", "hi"), ["_skey", "block"]).withColumn("_words", F.greatest(to - from_, F.lit(0)))
     words = found.groupBy("_skey", "_bucket", "_row").agg(F.sum("_words").alias("_words"))
     out = m.rows.join(words, ["_skey", "_bucket", "_row"], "left").withColumn("_words", F.coalesce("_words", F.lit(0)))
-    own = [F.col("_doc").getField(c).alias(c) for c in m.rows.schema["_doc"].dataType.names if not c.startswith("_")]
-    return out.select(*own, *[c for c in out.columns if c != "_doc"])
+    return out.select(*m.own([c for c in m.columns if not c.startswith("_")]), *[c for c in out.columns if not c.startswith("_c")])
 
 
 def mixed_documents(m: Mix, columns: list[str], block: int = BLOCK_WORDS) -> DataFrame:
@@ -159,7 +164,7 @@ def mixed_documents(m: Mix, columns: list[str], block: int = BLOCK_WORDS) -> Dat
     rows = m.rows.withColumn("block", F.least(F.expr(f"_start div {block}"), F.expr(f"greatest(_source_size - 1, 0) div {block}")))
     times = m.slots.select("_skey", "block", "lo", "hi", "slot")
     inside = (F.col("_start") < F.col("hi")) | (F.col("_size") == 0) & (F.col("_start") == F.col("hi"))
-    return rows.join(times, ["_skey", "block"]).where(inside).select(*[F.col("_doc").getField(c).alias(c) for c in columns])
+    return rows.join(times, ["_skey", "block"]).where(inside).select(*m.own(columns))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
