@@ -156,12 +156,21 @@ def _(t):
 
 @query("compare_transcripts")
 def _(t):
-    """Rates, counts and region term errors of every pair, joined once."""
-    counts = me.error_counts(me.aligned(t.pairs))
-    cer = me.error_rates(t.pairs).select(*KEYS, "cer")
-    tter = me.tter_region(_occ(t), KEYS)[1].select(*KEYS, "overall_tter")
-    j = counts.join(cer, KEYS).join(tter, KEYS, "left")
-    return j.select(*KEYS, F.round(F.col("wer") * 100, 2).alias("wer"), F.round(F.col("cer") * 100, 2).alias("cer"), "substitutions", "insertions", "deletions", "hits", "ref_word_count", "hyp_word_count", "overall_tter")
+    """Rates, counts, edit list and region term errors of every pair."""
+    c = me.compare(t.pairs, t.vocab, KEYS)
+    return c.withColumn("diff", F.md5(F.to_json("diff")))
+
+
+@query(
+    "compared_words",
+    f"""WITH n AS (SELECT file_id, utt, {ws(nwer('ref'))} AS rw, {ws(nwer('hyp'))} AS hw FROM d_pairs)
+SELECT file_id, utt, md5(array_to_string(rw, ' ')) AS ref_md5, md5(array_to_string(hw, ' ')) AS hyp_md5, CAST(len(rw) AS INT) AS ref_word_count FROM n""",
+)
+def _(t):
+    """The edit list of every pair, replayed: its reference side and its hypothesis side are the two texts again."""
+    c = me.compare(t.pairs, t.vocab, KEYS)
+    side = lambda word, without: F.md5(F.array_join(F.transform(F.filter("diff", lambda d: d["type"] != without), lambda d: d[word]), " "))
+    return c.select(*KEYS, side("ref_word", "insert").alias("ref_md5"), side("hyp_word", "delete").alias("hyp_md5"), "ref_word_count")
 
 
 @query(

@@ -110,3 +110,11 @@ def _(t):
     """A page of one kind of example, with all fields a browser shows."""
     kind = t.examples.where("is_negative")
     return tr.browse(kind, F.struct("example_id", "seq"), page=2).select("example_key", "source", "category", "term", "error_found", "applied", "is_negative", "is_hard_negative")
+
+
+@query(
+    "filtered_corrections",
+    "SELECT example_key, term, error_found FROM d_examples WHERE NOT applied AND contains(lower(term || ' ' || error_found || ' ' || category), 'tech')",
+)
+def _(t):
+    return jb.filtered_corrections(t.examples, "skipped", "TECH").select("example_key", "term", "error_found")

@@ -641,6 +641,17 @@ def _(t):
     return r.segments.groupBy("file_id").agg(F.count("*").alias("n_segments"))
 
 
+@query(
+    "correction_run_totals",
+    """SELECT f.file_id, (SELECT count(*) FROM d_segments s WHERE s.file_id = f.file_id) AS total_segments, (SELECT count(*) FROM d_retranscripts r WHERE r.file_id = f.file_id) AS retranscripts,
+ (SELECT count(*) FROM d_vocab) AS vocab FROM (SELECT DISTINCT file_id FROM d_segments) f""",
+)
+def _(t):
+    """Of the selector block and the evidence counts what the tables tell without the run."""
+    r = _run(t)
+    return r.evidence.join(r.selector, "file_id").select("file_id", "total_segments", "retranscripts", "vocab")
+
+
 @query("correction_run_report")
 def _(t):
     return _run(t).report.withColumn("results", F.array_join("results", "; "))

@@ -324,6 +324,19 @@ def _(t):
     return matching.attach_by_embedded_id(f, a, r"/([0-9]+)(?:[?#]|$)").select("file_id", "lang")
 
 
+@query(
+    "attributes_by_tracking",
+    r"""WITH f AS (SELECT page_id, COALESCE(nullif(regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1), ''), '') AS id FROM pages), a AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents)
+SELECT f.page_id AS file_id, COALESCE(a.lang, k.lang) AS lang FROM f LEFT JOIN a ON a.id = f.id LEFT JOIN a k ON f.page_id % 3 = 0 AND k.id = CAST(f.page_id // 3 AS VARCHAR)""",
+)
+def _(t):
+    """As above, but files whose name holds no known id take the one noted when they were sent."""
+    f = t.pages.select(F.col("page_id").alias("file_id"), F.col("url").alias("file_name"), F.lit("").alias("storage_key"))
+    a = t.documents.select(F.col("doc_id").cast("string").alias("attr_id"), "lang")
+    noted = t.pages.where("page_id % 3 = 0").select(F.col("page_id").alias("file_id"), F.expr("page_id div 3").cast("string").alias("attr_id"))
+    return matching.attach_by_embedded_id(f, a, r"/([0-9]+)(?:[?#]|$)", noted).select("file_id", "lang")
+
+
 @query(
     "corpus_selection",
     "SELECT doc_id AS file_id, CAST(n_chars % 3000 AS INT) AS duration_s FROM documents WHERE (contains(lower(lang), 'en') OR contains(lower(source), 'english')) AND n_chars % 3000 <= 1800 AND length(text) >= 100 ORDER BY n_chars % 3000, doc_id LIMIT 10",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbascope.functions.text import pct
+from verbascope.functions.text import matches_search, pct
 
 # How far a status has come, and the canonical order of the steps.
 STATUS_RANK = {"pending": 0, "running": 1, "skipped": 2, "failed": 3, "completed": 4}
@@ -186,6 +186,16 @@ def evidence_counts(files: DataFrame, **sources: DataFrame) -> DataFrame:
     return out
 
 
+def filtered_corrections(corrections: DataFrame, shown: str = "all", search: str = "") -> DataFrame:
+    """Corrections a viewer asked for: ``all``, ``applied`` or ``skipped`` ones whose term, error or category holds the text."""
+    c = corrections
+    if shown != "all":
+        c = c.where(F.coalesce("applied", F.lit(False)) == F.lit(shown == "applied"))
+    if search:
+        c = c.where(matches_search(search, F.coalesce("term", F.lit("")), F.coalesce("error_found", F.lit("")), F.coalesce("category", F.lit(""))))
+    return c
+
+
 def applied_stats(corrections: DataFrame) -> DataFrame:
     return corrections.groupBy("file_id").agg(
         F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("skipped"), F.count("*").alias("total")

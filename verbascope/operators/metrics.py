@@ -15,6 +15,7 @@ from verbascope.functions.text import norm_metric, norm_wer, norm_ws, tokens
 from verbascope.operators.alignment import align, diff_rows, script_count
 from verbascope.operators.ordered import exact_percentiles
 from verbascope.operators.positions import scan_terms
+from verbascope.session import materialise
 
 INF = float("inf")
 
@@ -74,6 +75,23 @@ def word_diff(aligned_pairs: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.withColumn("grp", grp).drop("_e", "_before")
 
 
+def compare(pairs: DataFrame, vocab: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """The comparison of every pair: rates in percent, error counts, the term summary and
+    ``diff``, its edit list as an array of (pos, type, ref_word, hyp_word, grp) in order."""
+    steps = materialise(aligned(pairs, ref, hyp).select(*keys, "ref_words", "hyp_words", "script"), "aligned")
+    counts = error_counts(steps)
+    listed = word_diff(steps, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "type", "ref_word", "hyp_word", "grp"))).alias("diff"))
+    chars = error_rates(pairs, ref, hyp).select(*keys, "cer")
+    terms = tter_region(tter_region_occurrences(pairs, vocab, keys, ref, hyp), keys)[1].select(*keys, "overall_tter")
+    j = counts.join(chars, keys).join(listed, keys, "left").join(terms, keys, "left")
+    percent = lambda c: F.round(F.col(c) * 100, 2).alias(c)
+    none = F.array().cast(listed.schema["diff"].dataType)
+    return j.select(
+        *keys, percent("wer"), percent("cer"), "substitutions", "insertions", "deletions", "hits", "ref_word_count", "hyp_word_count",
+        "overall_tter", F.coalesce("diff", none).alias("diff"),
+    )
+
+
 def tter_aligned(pairs: DataFrame, terms: DataFrame, keys: list[str], ref: str = "ref", hyp: str = "hyp", normalise=F.lower) -> DataFrame:
     """Target-term error rate from the alignment, 0..1.
 
