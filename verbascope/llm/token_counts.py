@@ -25,7 +25,6 @@ BIG = np.int64(1) << 60
 OTHER = 1 << 20  # ids of characters outside the vocabulary start here
 WIDTH = np.int64(1) << 22
 CACHE_ENTRIES = 1_000_000
-SLOT_BITS = 20
 
 
 class PieceMerger:
@@ -67,19 +66,19 @@ class PieceMerger:
         """Pairs by hash: a few slots for each value, as many as the fullest needs."""
         keys = np.array(list(rows), dtype=np.int64)
         value = np.array(list(rows.values()), dtype=np.int64)
+        self.shift = np.uint64(64 - max(14, (4 * len(keys)).bit_length()))
         slot = self._slot(keys)
         order = np.argsort(slot, kind="stable")
         keys, value, slot = keys[order], value[order], slot[order]
         depth = np.arange(len(slot)) - np.maximum.accumulate(np.where(np.r_[True, slot[1:] != slot[:-1]], np.arange(len(slot)), 0))
-        self.table = np.full((depth.max() + 1, 1 << SLOT_BITS), -1, dtype=np.int64)
+        self.table = np.full((depth.max() + 1, 1 << (64 - int(self.shift))), -1, dtype=np.int64)
         self.at = np.zeros(self.table.shape, dtype=np.int32)
         self.table[depth, slot] = keys
         self.at[depth, slot] = np.arange(len(keys))
         self.rank, self.made = value[:, 0], value[:, 1]
 
-    @staticmethod
-    def _slot(key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (BIG where it makes no piece) and the piece it makes."""

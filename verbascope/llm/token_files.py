@@ -34,8 +34,8 @@ from verbascope.llm.token_counts import WIDTH, PieceMerger
 from verbascope.operators.ordered import running
 
 CHUNK_IDS = 65_536
-CACHE_ENTRIES = 700_000
-RUN_BYTES = 4_000_000
+CACHE_ENTRIES = 400_000
+RUN_BYTES = 1_500_000
 PART_IDS = 4_000_000
 # White space, of one byte and of more.
 BLANK = np.zeros(256, dtype=bool)
