@@ -34,8 +34,8 @@ from verbascope.llm.token_counts import WIDTH, PieceMerger
 from verbascope.operators.ordered import running
 
 CHUNK_IDS = 65_536
-CACHE_ENTRIES = 400_000
-RUN_BYTES = 1_500_000
+CACHE_ENTRIES = 250_000
+RUN_BYTES = 1_000_000
 PART_IDS = 4_000_000
 # White space, of one byte and of more.
 BLANK = np.zeros(256, dtype=bool)
@@ -305,6 +305,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
                 k = to
         if n_ids:
             yield from chunks(True)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it needs
 
     dealt = rows.repartitionByRange(n_shards, F.col("id").asc(), F.xxhash64("text").asc(), F.col("row").asc()).sortWithinPartitions("id", F.xxhash64("text")).select("id", "text")
     dealt.mapInArrow(run, file_schema(kind)).write.partitionBy("kind").option("compression", "zstd").parquet(path)
