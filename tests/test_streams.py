@@ -4,6 +4,9 @@ import datetime as dt
 import random
 import time
 
+import pytest
+
+from verbascope import catalog
 from verbascope.functions.text import F
 from verbascope.operators import jobs as jb
 from verbascope.operators.evidence import _word_set, similar_words
@@ -81,3 +84,18 @@ def test_frames_of_many_batches_late_ones_and_expiry(spark, tmp_path):
             assert (1, 5.0, "late words") in {tuple(r) for r in spark.read.parquet(f"{tmp_path}/short").select("file_id", F.col("ts"), "text").collect()}
     finally:
         spark.conf.unset(size)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_read_a_table_of_one_or_many_files(spark, tmp_path, parts):
+    sf, queries = "/root/testdata/sf0.001", catalog.load().QUERIES
+    for name in ("pages", "events"):
+        table = spark.read.parquet(f"{sf}/{name}.parquet")
+        if parts == 1:
+            (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+        else:
+            table.repartition(parts).write.parquet(f"{tmp_path}/{name}.parquet")
+    for stream, batch in (("stream_distinct_frames", "distinct_frames"), ("stream_step_state", "deduped_steps")):
+        got, want = queries[stream](spark, str(tmp_path)), queries[batch](spark, sf)
+        both = [c for c in got.columns if c in want.columns]
+        assert sorted(map(repr, got.select(both).collect())) == sorted(map(repr, want.select(both).collect())) != []

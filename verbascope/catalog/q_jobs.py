@@ -156,9 +156,14 @@ def _(t):
 # --------------------------------------------------------------------------
 
 
+def _stream_of(t, name):
+    """A table as a stream: one file or a folder of files, as it is read in batch.
+    A stream takes a plain path for a folder, a pattern for whatever it matches."""
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.sf_dir}/{name}.parque[t]")
+
+
 def _event_stream(t):
-    schema = t.events.schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return _stream_of(t, "events")
 
 
 def _places(t, name):
@@ -234,7 +239,7 @@ SELECT file_id, ts FROM r WHERE keep""",
 )
 def _(t):
     out, chk = _places(t, "frames")
-    pages = t.spark.readStream.schema(t.pages.schema).option("pathGlobFilter", "pages.parquet").parquet(t.sf_dir)
+    pages = _stream_of(t, "pages")
 
     class Source:
         pass
