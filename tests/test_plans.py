@@ -2,6 +2,7 @@
 
 import pytest
 
+from verbascope.catalog.registry import DEALT_BY, Tables
 from verbascope.plans.evaluation import build_training_set, evaluate
 
 
@@ -24,3 +25,11 @@ def test_training_set_build(spark):
     assert sum(r.source == "corrections" for r in out) == 3
     pos, neg = sum(not r.is_negative for r in out), sum(r.is_negative for r in out)
     assert neg <= pos * 0.3 / 0.7 and {r.split for r in out} == {"train", "valid"}
+
+
+def test_texts_of_one_row_group_are_dealt_to_all_tasks(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for name in DEALT_BY:
+        stored = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        assert getattr(t, name).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+        assert getattr(t, name).exceptAll(stored).count() == stored.exceptAll(getattr(t, name)).count() == 0
