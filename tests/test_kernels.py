@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,21 @@ def test_few_pairs_are_scored(said_and_terms, measure, share):
         some = words[first : first + 1000]
         all_ = plain([w for w in some for _ in terms], terms * len(some))
         assert {(a, b, v) for a, b, v in got if first <= a < first + 1000} == {(first + k // len(terms), k % len(terms), v) for k, v in enumerate(all_.tolist()) if measure.accept(v)}
+
+
+def test_nearest_pairs_are_the_first_of_all_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.choice([1, 4, 6, 7, 9, 70])))
+    left, right = sorted({word() for _ in range(60)}), sorted({word() for _ in range(150)})
+    order = list(range(len(right)))
+    rnd.shuffle(order)
+    pairs = [(a, b, sim.indel_ratio(a, b), o) for a in left for b, o in zip(right, order) if sim.indel_ratio(a, b) >= 60]
+    want = {(a, b) for w in left for a, b, _, _ in sorted((p for p in pairs if p[0] == w), key=lambda p: (-p[2], p[3]))[:3]}
+    i, j, _, scored = fuzzy.nearest_pairs(left, right, fuzzy.IndelRatio(60.0), 3, np.array(order))
+    assert {(left[a], right[b]) for a, b in zip(i, j)} == want and len(i) == len(want)
+    # Of each block only its first ones leave the task.
+    monkeypatch.setattr(fuzzy, "BLOCK_WORDS", 50)
+    l = spark.createDataFrame([(x,) for x in left], "a string")
+    r = spark.createDataFrame(list(zip(right, order)), "b string, o long")
+    met = fuzzy.fuzzy_word_join(l, "a", r, "b", fuzzy.IndelRatio(60.0), "v", 3, "o").collect()
+    assert want <= {(x.a, x.b) for x in met} and len(met) < len(pairs) and len(met) <= len(left) * 3 * 3
