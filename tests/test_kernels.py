@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verbascope import catalog
 from verbascope.catalog.registry import Tables
 from verbascope.functions import fuzzy
 from verbascope.functions import similarity as sim
@@ -185,3 +186,17 @@ def test_nearest_pairs_are_the_first_of_all_pairs(spark, monkeypatch):
     r = spark.createDataFrame(list(zip(right, order)), "b string, o long")
     met = fuzzy.fuzzy_word_join(l, "a", r, "b", fuzzy.IndelRatio(60.0), "v", 3, "o").collect()
     assert want <= {(x.a, x.b) for x in met} and len(met) < len(pairs) and len(met) <= len(left) * 3 * 3
+
+
+def test_plausibility_score_is_that_of_the_verdict(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdé") for _ in range(rnd.choice([0, 1, 3, 4, 6, 9, 66])))
+    rows = [(a, rnd.choice([a, a + word(), a[:-1], word()])) for a in (word() for _ in range(2000))] + [(None, "ab"), ("ab", None)]
+    p = spark.createDataFrame(rows, "e string, t string")
+    got = p.select(sim.plausibility("e", "t")["score"].alias("a"), sim.plausibility_score(F.col("e"), F.col("t")).alias("b"))
+    assert got.where("NOT (a <=> b)").count() == 0
+
+
+def test_pairs_of_few_words_are_made_by_all_tasks(spark):
+    pairs = catalog.load().QUERIES["plausibility_spelling"](spark, "/root/testdata/sf0.001")
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
