@@ -191,6 +191,27 @@ def cut_points(text: str, size: int, overlap: int, look_back: int) -> Iterator[t
     yield begin, len(text)
 
 
+# Characters of chunks that one frame holds, but for one text of more.
+CHUNK_CHARS = 4_000_000
+
+
+def _chunk_frames(batches, names: list[str], text: str, size: int, overlap: int, look_back: int):
+    """Frames of bounded size: the chunks of a whole batch of texts are never held at once."""
+    columns = [*names, "chunk_no", "start", "end", "text"]
+    for batch in batches:
+        rows, held = [], 0
+        for *key, body in zip(*(batch[c].tolist() for c in (*names, text))):
+            body = body or ""
+            for no, (a, b) in enumerate(cut_points(body, size, overlap, look_back)):
+                rows.append((*key, no, a, b, body[a:b]))
+            held += len(body)
+            if held >= CHUNK_CHARS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+
 def sentence_chunks(df: DataFrame, keys: list[str], text: str, size: int = 5000, overlap: int = 200, look_back: int = 500) -> DataFrame:
     """``keys, chunk_no, start, end, text``: overlapping chunks cut at sentence ends.
 
@@ -202,13 +223,7 @@ def sentence_chunks(df: DataFrame, keys: list[str], text: str, size: int = 5000,
     names = [f.name for f in fields]
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for rec in batch.to_dict("records"):
-                body = rec[text] or ""
-                for no, (a, b) in enumerate(cut_points(body, size, overlap, look_back)):
-                    rows.append((*[rec[k] for k in names], no, a, b, body[a:b]))
-            yield pd.DataFrame(rows, columns=[*names, "chunk_no", "start", "end", "text"])
+        return _chunk_frames(batches, names, text, size, overlap, look_back)
 
     return df.select(*names, text).mapInPandas(run, schema=f"{ddl}, chunk_no int, start int, end int, text string")
 
