@@ -200,3 +200,19 @@ def test_plausibility_score_is_that_of_the_verdict(spark):
 def test_pairs_of_few_words_are_made_by_all_tasks(spark):
     pairs = catalog.load().QUERIES["plausibility_spelling"](spark, "/root/testdata/sf0.001")
     assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_a_word_meets_a_block_of_words_at_once():
+    """Common characters of all pairs are exact, and only pairs of enough of them are measured."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("aeinrsté") for _ in range(rng.choice([1, 3, 8, 16, 17, 40, 64]))) for _ in range(120)} - {""})
+    held = fuzzy.sides(words)
+    assert [s.kind for s in held] == [np.uint16, np.uint64] and sorted(k for s in held for k in s.at) == list(range(len(words)))
+    measure = fuzzy.IndelRatio(60.0)
+    for a in words[:40]:
+        for side in held:
+            j, common = measure.meet(a, side, np.zeros(len(side.at), dtype=np.uint8))
+            got = [200.0 * int(n) / (len(a) + len(words[k])) for k, n in zip(side.at[j], common)]
+            assert len(j) == len(side.at) and got == pytest.approx([sim.indel_ratio(a, words[k]) for k in side.at])
+    i, _, _, scored = fuzzy.close_pairs(words, words, measure)
+    assert scored == len(i) < len(words) ** 2 / 2
