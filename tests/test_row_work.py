@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from verbascope.operators import metrics as me
+from verbascope.operators import terms as te
 from verbascope.operators import training as tr
 
 PAIRS = [(1, "Anna moved to Cloudbase", "Anna moved to Cloudways"), (None, "Anna and Bert met", "Anna met"), (2, None, "so we met")]
@@ -39,3 +40,16 @@ def test_chunks_are_sampled_before_they_are_shuffled(spark):
     per = {r.meeting_id: r["count"] for r in p.groupBy("meeting_id").count().collect()}
     assert set(per) == {1, 2} and max(per.values()) <= 20
     assert "slice(array_sort(" in p._jdf.queryExecution().executedPlan().toString()
+
+
+def test_target_summary_counts_the_terms_of_files(spark):
+    rows = [(1, "the NASA-7 probe, Probe and probe of monday"), (2, "THE ALL"), (3, "the the state-run Kubelet"), (4, None), (5, "monday the")]
+    texts = spark.createDataFrame(rows + [(9, "the " * 2000)], "file_id int, text string")
+    keywords = spark.createDataFrame([("monday",), ("the",), ("state-run",)], "keyword string")
+    terms = te.target_terms(texts, keywords, te.corpus_zipf(texts))
+    want = {r.file_id: r["count"] for r in terms.groupBy("file_id").count().collect()}
+    at = {r.file_id: r.target_positions for r in te.target_positions(texts, terms).collect()}
+    d = te.target_summary(texts.repartition(4, "file_id"), keywords)
+    assert {r.file_id: (r.target_terms, r.target_positions) for r in d.collect()} == {f: (n, at.get(f, 0)) for f, n in want.items()}
+    # Beside the word counts the texts are dealt by file alone.
+    assert "SortMergeJoin [file_id" not in d._jdf.queryExecution().executedPlan().toString()
