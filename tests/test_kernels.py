@@ -202,6 +202,21 @@ def test_pairs_of_few_words_are_made_by_all_tasks(spark):
     assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
 
 
+def test_a_word_meets_all_terms_of_its_beginning(spark):
+    """Every pair of one beginning once, with the score of the verdict, and no pair is measured by itself."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7, 16, 17, 64, 65, 70])))
+    terms = sorted({word() for _ in range(300)})
+    words = sorted({x for t in terms[:120] for x in (t, t[:-1] or "a", t + "b", t[:2] + word())} | {word() for _ in range(100)})
+    w, t = (spark.createDataFrame([(x,) for x in side], f"{c} string") for side, c in ((words, "w"), (terms, "t")))
+    got = {(x.w, x.t): x.s for x in fuzzy.plausible_spellings(w, t, "w", "t", 2, "s", 6).collect()}
+    met = w.crossJoin(t).where("left(w, 2) = left(t, 2)")
+    want = {(x.w, x.t): x.s for x in met.select("w", "t", F.round(sim.plausibility("w", "t")["score"], 6).alias("s")).collect()}
+    assert got == want and len(set(want.values())) > 50
+    plan = catalog.load().QUERIES["plausibility_spelling"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan.split("Physical Plan")[1]
+
+
 def test_a_word_meets_a_block_of_words_at_once():
     """Common characters of all pairs are exact, and only pairs of enough of them are measured."""
     rng = random.Random(7)
